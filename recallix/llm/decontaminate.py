@@ -150,5 +150,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return named
     mark = free_name(docs.columns, "_rx_row")
     marked = nameless.withColumn(mark, F.monotonically_increasing_id())
-    hit = find_leaks(marked, benchmark, mark, text_col, threshold=threshold).select("id").distinct()
-    return named.unionByName(marked.join(hit, F.col(mark) == F.col("id"), "left_anti").select(*(col(c) for c in docs.columns)))
+    hit = find_leaks(marked, benchmark, mark, text_col, threshold=threshold).select(F.col("id").alias("_rx_id")).distinct()
+    return named.unionByName(marked.join(hit, F.col(mark) == F.col("_rx_id"), "left_anti").select(*(col(c) for c in docs.columns)))

@@ -117,7 +117,8 @@ def x14(t):
     again = t.ev.where("lsn >= 5000").unionByName(t.ev.where("lsn >= 9000"))
     once = again.groupBy("event_id").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k"))
     bad = F.col("k") % 40 == 0
-    return once.agg(F.sum((~bad).cast("long")).alias("applied"), F.sum(F.col("c") - 1).alias("duplicate"), F.sum(bad.cast("long")).alias("failed"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return once.agg(total((~bad).cast("long")).alias("applied"), total(F.col("c") - 1).alias("duplicate"), total(bad.cast("long")).alias("failed"))
 
 
 @query("x17_validate", "SELECT vec_id, len(embedding) = 64 AS right_size, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AS finite FROM embeddings")

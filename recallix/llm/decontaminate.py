@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, free_name, importable
-from .lexicon import Lexicon, runs
+from .lexicon import Lexicon, Members, runs
 
 SHINGLE, RADIUS, BLOCKS = 5, 15, 8
 _ROWS = 2048
@@ -54,7 +54,7 @@ class Benchmark:
             for b in range(BLOCKS):
                 for near in (0, *(1 << i for i in range(8))):
                     table[b][self.prints[at, b] ^ near].append(at)
-        self.known = {k: np.array(sorted({c for s, (_, w) in zip(self.shingles, self.items, strict=True) if min(SHINGLE, len(w)) == k for c in s}), np.uint64) for k in {min(SHINGLE, len(w)) for _, w in self.items}}
+        self.known = {k: Members({c for s, (_, w) in zip(self.shingles, self.items, strict=True) if min(SHINGLE, len(w)) == k for c in s}) for k in {min(SHINGLE, len(w)) for _, w in self.items}}
 
     def candidates(self, length: int, prints: np.ndarray) -> list[tuple[int, int]]:
         """(window, item) pairs within the radius, by the blocks that agree but for a bit."""
@@ -74,7 +74,7 @@ class Benchmark:
         best: dict[int, tuple[float, int, int]] = {}
         for k, known in self.known.items():
             codes = runs(numbers, k, unknown=True)
-            hits = np.flatnonzero(np.isin(codes, known)) if len(codes) else []
+            hits = known.where(codes)
             if not len(hits):
                 continue
             near: dict[int, list[int]] = {}  # length of the items met: where

@@ -13,7 +13,10 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 def normal(word: str) -> str:
     """A word in lower case without what isn't a letter or digit at its ends; may be empty."""
-    return _EDGES.sub("", word.lower())
+    low = word.lower()
+    if low.isalnum():
+        return low
+    return low[:-1] if low[-1] in ".,;:!?" and low[:-1].isalnum() else _EDGES.sub("", low)
 
 
 class Lexicon(dict):
@@ -44,6 +47,24 @@ class Lexicon(dict):
         return numbers[places], places
 
 
+class Members:
+    """A fixed set of codes. A table over 16 bits of a code rules most others out before the search."""
+
+    def __init__(self, codes):
+        self.codes = np.array(sorted(codes), np.uint64)
+        self.table = np.zeros(1 << 16, bool)
+        self.table[(self.codes >> np.uint64(40)) & np.uint64(0xFFFF)] = True
+
+    def where(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the codes that are in the set."""
+        places = np.flatnonzero(self.table[(codes >> np.uint64(40)) & np.uint64(0xFFFF)])
+        if not len(places) or not len(self.codes):
+            return places[:0]
+        asked = codes[places]
+        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+        return places[self.codes[at] == asked]
+
+
 def runs(numbers: np.ndarray, k: int, unknown: bool = False) -> np.ndarray:
     """A 64-bit code for each run of k words; 0 where a word is unknown, unless those are asked for too."""
     n = len(numbers) - k + 1

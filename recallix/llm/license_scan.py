@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import col, importable
-from .lexicon import Lexicon, runs
+from .lexicon import Lexicon, Members, runs
 
 RUN, WINDOW = 3, 3
 
@@ -90,19 +90,19 @@ class Scanner:
             codes = runs(words, min(RUN, len(words)))
             for place in winnow(codes).tolist():
                 self.index.setdefault(int(codes[place]), []).append((at, place))
-        self.prints = np.array(sorted(self.index), np.uint64)
+        self.prints = Members(self.index)
 
     def _candidates(self, numbers: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, lowest diagonal, highest diagonal), from the text's own winnowed fingerprints."""
         met: dict[int, set[int]] = {}
         for k in self.sizes:
             codes = runs(numbers, k)
-            if not codes.any():
+            if not len(self.prints.where(codes)):
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes != 0).astype(np.int8), [0]])))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # stretches of known words
                 chosen = winnow(codes[a:b]) + a
-                for place in chosen[np.isin(codes[chosen], self.prints)].tolist():
+                for place in chosen[self.prints.where(codes[chosen])].tolist():
                     for at, where in self.index[int(codes[place])]:
                         met.setdefault(at, set()).add(place - where)
         out = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, importable
+from .common import Table, col, importable
 
 ALPHABET = 32
 SPANS = {3: 6, 4: 7}  # letters of a subsequence: most characters it may span
@@ -233,9 +233,10 @@ def learns_from(doc_id: Column) -> Column:
     return ~held_out(doc_id)
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, max_units: int = 400_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, max_units: int = 200_000) -> Model:
     """Fit a model to a sample of labelled texts, of fixed size: at most ``max_toxic`` and ``max_clean`` rows, those
-    with the smallest hashes of their ids.
+    with the smallest hashes of their ids. Of the units seen in them about ``max_units`` at most, by their hashes, and
+    the 2,000 most frequent toxic ones come to the driver.
 
     ``where`` says from which ids to learn. Labels for unknown documents, null labels and null ids teach nothing; an
     id with several labels counts as toxic if one says so. Toxic units are those with far more distinct contexts (the
@@ -258,8 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column]
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in around], pa.string()), pa.array([h for _, h in around], pa.int64()), pa.array([toxic] * len(around), pa.int32())], ["unit", "ctx", "toxic"])
 
     seen = texts.select("text", "toxic").mapInArrow(contexts, "unit string, ctx long, toxic int")
-    counts = seen.groupBy("unit", "ctx", "toxic").agg(F.lit(1).alias("one")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    rows = counts.orderBy(F.xxhash64("unit"), "unit").limit(max_units).unionByName(counts.where("t >= 3 and t > 10 * c").orderBy(F.col("t").desc(), "unit").limit(2000)).distinct().toPandas()
+    counts = Table(seen.groupBy("unit", "ctx", "toxic").agg(F.lit(1).alias("one")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "units").df
+    share = min(1.0, max_units / max(1, counts.count()))
+    rows = counts.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(share * (1 << 20))).unionByName(counts.where("t >= 3 and t > 10 * c").orderBy(F.col("t").desc(), "unit").limit(2000)).distinct().toPandas()
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = rows[["t", "c"]].sum()
     if not sizes.get(1) or not sizes.get(0) or not total["t"] or not total["c"]:
@@ -290,27 +292,31 @@ class _Memory(dict):
 _memories: dict[str, _Memory] = {}
 
 
+def _values(texts: list[str | None], model: Model) -> list[float]:
+    """Decision values of texts, some hundreds at a time; values of units met before come from this process's memory."""
+    key = f"{model.bias!r}:{[float(t.sum(dtype=np.float64)) for t in model.tables.values()]!r}"
+    for old in [k for k in _memories if k != key]:
+        del _memories[old]
+    memory, out = _memories.setdefault(key, _Memory()), []
+    for i in range(0, len(texts), 500):
+        lists = [units(t or "") for t in texts[i : i + 500]]
+        new = list(set().union(*lists) - memory.keys())
+        memory.update(zip(new, decide(new, model.tables, model.bias).tolist(), strict=True))
+        out += [max(map(memory.__getitem__, u)) if u else Model.EMPTY for u in lists]
+        if len(memory) > _CACHE_UNITS:
+            memory.clear()
+    return out
+
+
 def decisions(rows: DataFrame, model: Model) -> DataFrame:
     """Rows (id, text, ...) without the text, with the decision value ``f`` of each whole text."""
     importable(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in rows.columns if c != "text"]
-    key = f"{id(model)}:{model.bias!r}:{float(sum(float(t.sum()) for t in model.tables.values()))!r}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for old in [k for k in _memories if k != key]:
-            del _memories[old]
-        memory = _memories.setdefault(key, _Memory())
         for b in batches:
-            out = []
-            for i in range(0, b.num_rows, 500):
-                lists = [units(t or "") for t in b.column(b.schema.get_field_index("text")).slice(i, 500).to_pylist()]
-                new = list(set().union(*lists) - memory.keys())
-                memory.update(zip(new, decide(new, m.tables, m.bias).tolist(), strict=True))
-                out += [max(map(memory.__getitem__, u)) if u else Model.EMPTY for u in lists]
-                if len(memory) > _CACHE_UNITS:
-                    memory.clear()
+            out = _values(b.column(b.schema.get_field_index("text")).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(out, pa.float64())], [*rest, "f"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
@@ -329,17 +335,12 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col
     """The rows whose text scores below the threshold, with all their columns. Each row is judged by its own text."""
     importable(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = text_col
 
     @F.pandas_udf("double")
     def value(texts):
         import pandas as pd
 
-        m = sent.value
-        lists = [units(t or "") for t in texts]
-        new = list(set().union(*lists)) if lists else []
-        got = dict(zip(new, decide(new, m.tables, m.bias).tolist(), strict=True))
-        return pd.Series([max(map(got.__getitem__, u)) if u else Model.EMPTY for u in lists], dtype="float64")
+        return pd.Series(_values(texts.tolist(), sent.value), dtype="float64")
 
     cut = (np.log(threshold / (1 - threshold)) - model.offset) / model.slope
-    return docs.where(value(col(name).cast("string")) < F.lit(float(cut)))
+    return docs.where(value(col(text_col).cast("string")) < F.lit(float(cut)))

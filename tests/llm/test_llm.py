@@ -581,15 +581,91 @@ def test_pii_awkward(spark, awkward, empty):
 # The pipeline -----------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, folder, docs):
+def brute_near_dedup(rows, radius=7, least=0.8):
+    first = {}
+    for i, t in sorted(rows.items()):
+        first.setdefault(brute_print(t), i)
+    prints = {i: f for f, i in first.items()}
+    up = {i: i for i in prints}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= radius and neardup.similarity(rows[i], rows[j]) >= least:
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i for i, t in rows.items() if top(first[brute_print(t)]) == i}
+
+
+def test_pipeline_stages_equal_brute_force(spark, folder, docs, tokenizer):
     import corpus_pipeline as cp
 
-    assert [n for n, _ in cp.STAGES][0] == "toxicity" and len(cp.STAGES) == 5
-    rows, sizes = docs, []
-    for name, stage in cp.STAGES:
-        rows = common.Table(stage(spark, rows, folder), "stage").df
-        sizes.append(rows.count())
-        if name != cp.STAGES[-1][0]:
-            assert rows.columns == docs.columns and rows.schema.simpleString() == docs.schema.simpleString()
-    assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[4] == sizes[3]
-    assert cp.run(spark, folder).count() == sizes[4]
+    assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+    stages = dict(cp.STAGES)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+
+    def step(name, df):
+        out = common.Table(stages[name](spark, df, folder), "stage").df
+        assert name == "token shards" or (out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString())
+        return out
+
+    one = step("toxicity", docs)
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), where=toxicity.learns_from)
+    cut = (np.log(0.3 / 0.7) - model.offset) / model.slope
+    value = {i: max(toxicity.decide(toxicity.units(t), model.tables, model.bias), default=model.EMPTY) for i, t in rows.items()}
+    kept = {i for i, v in value.items() if v < cut}
+    assert {r[0] for r in one.select("doc_id").collect()} == kept
+
+    two = step("simhash near-dedup", one)
+    want = brute_near_dedup({i: rows[i] for i in kept})
+    assert {r[0] for r in two.select("doc_id").collect()} == want
+
+    three = step("benchmark decontamination", two)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    clean = want - {i for i, _ in brute_leaks([(i, rows[i]) for i in want], items)}
+    assert {r[0] for r in three.select("doc_id").collect()} == clean
+
+    four = step("source mixing", three)
+    sizes = {i: len(words_of(rows[i])) for i in clean}
+    per = Counter()
+    for i, n in sizes.items():
+        per[source[i]] += n
+    weight = {s: n % 3 + 1 for n, s in enumerate(sorted(per))}
+    target, left, free = {}, sum(per.values()), set(per)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] >= 3 * per[s]}
+        target |= share
+        if not over:
+            break
+        target |= {s: 3.0 * per[s] for s in over}
+        left, free = left - sum(3 * per[s] for s in over), free - over
+    queue, place, taken = [], 0, Counter()
+    for s in per:
+        at = 0
+        order = sorted((hashlib.md5(f"7:{i}:1".encode()).hexdigest(), i) for i in clean if source[i] == s)
+        for turn in range(3):
+            for h, i in order:
+                at += sizes[i]
+                queue.append((at / target[s], s, turn, h, i))
+    for _, _, _, _, i in sorted(queue):
+        place += sizes[i]
+        if place > sum(per.values()):
+            break
+        taken[i] += 1
+    assert Counter(r[0] for r in four.select("doc_id").collect()) == +taken
+
+    five = step("token shards", four)
+    ids, at = [i for i in sorted(taken) for _ in range(taken[i])], 0
+    want = []
+    for i in ids:
+        t = [*tokenizer.encode(rows[i], add_special_tokens=False).ids, 2]
+        want.append((i, at, len(t), zlib.crc32(np.asarray(t, "<u4").tobytes())))
+        at += len(t)
+    assert sorted(tuple(r) for r in five.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want

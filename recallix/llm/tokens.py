@@ -172,9 +172,9 @@ class Shard:
 # Encoding ----------------------------------------------------------------------------------------------------------
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"[{_LETTERS}]+")
-_MARKED = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]+)")
-_CACHE_WORDS = 500_000
+_MARKED = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_CACHE_WORDS = 250_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -197,6 +197,7 @@ class Encoder:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
@@ -211,25 +212,35 @@ class Encoder:
         # Python's split takes the characters 28 to 31 for white space, the tokenizer does not.
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        self.learn(set().union(*split) - self.words.keys())
+        new = set().union(*split) - self.words.keys()
+        if self.older:  # words in use move on to the younger generation, the others go with the older one
+            known = new & self.older.keys()
+            self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            new -= known
+        self.learn(new)
         get = self.words.__getitem__
         out = [self.whole([t])[0] if o else b"".join(map(get, w)) for t, o, w in zip(texts, odd, split, strict=True)]
         if len(self.words) > _CACHE_WORDS:
-            self.words, self.plain = {}, {}
+            self.older, self.words, self.plain = self.words, {}, {}
         return out
 
     def learn(self, words: set[str]) -> None:
         marked, rest = {}, []
         need: set[str] = set()
         for w in words:
-            if _PLAIN.fullmatch(w):
-                marked[w] = (w.lower(), "")
-                need.add(w.lower())
+            if w.isascii():
+                stem = w.rstrip(_MARKS)
+                if stem.isalpha():
+                    low = stem.lower()
+                    marked[w] = (low, w[len(stem) :])
+                    need.add(low)
+                    continue
             elif m := _MARKED.fullmatch(w):
-                marked[w] = (m[1].lower(), m[2])
-                need.add(m[1].lower())
-            else:
-                rest.append(w)
+                low = m[1].lower()
+                marked[w] = (low, m[2])
+                need.add(low)
+                continue
+            rest.append(w)
         self.learn_plain(sorted(need - self.plain.keys()))
         tails = sorted({t for _, t in marked.values() if t and t not in self.plain})
         self.plain.update(zip(tails, self.whole(tails), strict=True))

@@ -1,12 +1,14 @@
 """Fuzzy line deduplication with DataFrame operations only (operator 8).
 
-Lines are normalised (lower case, runs of other than letters and digits become one space) and told apart by a hash.
-Each distinct line gets a 64-bit SimHash of its words. Lines at most three bits apart agree in one of four 16-bit
-blocks, so a join on the blocks finds them all; edit similarity of the normalised lines then decides. Of each connected
-group one occurrence stays, the first by document id and position.
-
-The SimHash is made of sums: the two halves of a hash's bits stand in one 64-bit number as two 32-bit counters, and 32
-such sums count all 64 bits inside the code-generated aggregate.
+Lines are normalised (lower case, ASCII marks become spaces, runs of spaces one space) and told apart by a hash. Each
+line gets a 64-bit SimHash of its words. Lines at most three bits apart agree in one of four 16-bit blocks, and lines
+that are similar enough have nearly as many words, so a join on block and length class finds them all; the edit
+similarity of the word sequences then decides. Of each connected group one occurrence stays, the first by document id
+and position.
+
+The SimHash is made of sums: four bits of a hash stand in one 64-bit number as four 16-bit counters, and 16 such sums
+count all 64 bits inside the code-generated aggregate. Lines of more words than such a counter holds take 32 sums of
+two 32-bit counters.
 """
 
 from __future__ import annotations
@@ -17,38 +19,51 @@ from pyspark.sql import functions as F
 from .common import Table, col, components
 
 BLOCKS, RADIUS, SIMILARITY = 4, 3, 0.8
-_SALTS = 64
+_LENGTH_BASE = 1.26  # a little over 1 / SIMILARITY: lines that can be similar are at most one class apart
+_SHORT = (1 << 15) - 1  # the topmost counter shares its bits with the sign
 _BROADCAST_IDS = 1_000_000
 
 
 def normalise(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    marks = F.regexp_replace(F.lower(line), r"[\x00-\x1f!-/:-@\[-`{-\x7f]+", " ")
+    return F.trim(F.regexp_replace(marks, "  +", " "))
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, lid, norm) of every line that has a letter or digit, whole texts."""
+    """(id, pos, lid, norm, n_words) of every line that has a word, whole texts."""
     text = col(text_col).cast("string")
     lines = docs.select(col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return lines.select("id", "pos", normalise(F.col("line")).alias("norm")).where("norm != ''").select("id", "pos", F.xxhash64("norm").alias("lid"), "norm")
+    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return lines.select("id", "pos", normalise(F.col("line")).alias("norm")).where("norm != ''").select("id", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
 
 
-def simhashes(occ: DataFrame) -> DataFrame:
-    """(lid, fp) of the distinct lines. A line's occurrences are counted together, which multiplies all its sums and
-    leaves each majority as it is; salted, so that a very common line's counters can't run over."""
-    tokens = occ.select("lid", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).alias("salt"), F.explode(F.split("norm", " ")).alias("w")).select("lid", "salt", F.xxhash64("w").alias("h"))
-    lane = F.lit(0x0000000100000001)
-    sums = tokens.groupBy("lid", "salt").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(32)))
+def _prints(occ: DataFrame, lanes: int) -> DataFrame:
+    """(lid, fp) with ``lanes`` counters in each sum; a line's sums are complete in the task that read it."""
+    step = 64 // lanes
+    ones = sum(1 << (step * j) for j in range(lanes))
+    tokens = occ.select("id", "pos", "lid", F.explode(F.split("norm", " ")).alias("w")).select("id", "pos", "lid", F.xxhash64("w").alias("h"))
+    sums = tokens.groupBy("id", "pos", "lid").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(step)))
     fp = F.lit(0).cast("long")
-    for i in range(32):
-        low, high = F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"s{i}", 32)
-        fp = fp.bitwiseOR(F.when(low * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0).cast("long")))
-        fp = fp.bitwiseOR(F.when(high * 2 > F.col("n"), F.lit((1 << (i + 32)) - (1 << 64 if i == 31 else 0))).otherwise(F.lit(0).cast("long")))
-    return sums.select("lid", fp.alias("fp")).groupBy("lid").agg(F.min("fp").alias("fp"))
+    for i in range(step):
+        for j in range(lanes):
+            bit = i + step * j
+            count = F.shiftrightunsigned(f"s{i}", step * j).bitwiseAND(F.lit((1 << step) - 1))
+            fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
+    return sums.select("lid", fp.alias("fp"))
 
 
-def _blocks(fp: Column) -> Column:
+def simhashes(occ: DataFrame) -> DataFrame:
+    """(lid, fp, n_words) of the distinct lines."""
+    both = _prints(occ.where(F.col("n_words") <= _SHORT), 4).unionByName(_prints(occ.where(F.col("n_words") > _SHORT), 2))
+    sizes = occ.groupBy("lid").agg(F.max("n_words").alias("n_words"))
+    return both.groupBy("lid").agg(F.min("fp").alias("fp")).join(sizes, "lid")
+
+
+def _cells(up: int) -> Column:
+    """One number for each block of a line: the block's place, its bits, and the line's length class raised by ``up``."""
     width = 64 // BLOCKS
-    return F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for b in range(BLOCKS)))
+    size = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(_LENGTH_BASE))).cast("long") + up
+    return F.array(*(F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(b << width)).bitwiseOR(F.shiftleft(size, width + 3)) for b in range(BLOCKS)))
 
 
 def _near(a: str, b: str) -> Column:
@@ -60,17 +75,25 @@ def _fits(a: str, b: str) -> Column:
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
 
 
+def _as_characters(norm: Column) -> Column:
+    """A line with one character for each word, of 983,040 by the word's hash: edits of words become edits of
+    characters. Two unlike words share a character once in a million."""
+    codes = F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+
 def _verified(pairs: DataFrame, occ: DataFrame, name: str) -> Table:
     """Pairs (src, dst, and what else they have) whose lines' edit similarity is high enough. Only lines that occur in a
     pair are fetched, one copy each."""
     table = Table(pairs, f"{name}-pairs")
     ids = table.df.select(F.col("src").alias("lid")).unionByName(table.df.select(F.col("dst").alias("lid"))).distinct()
     few = ids.count() <= _BROADCAST_IDS
-    lines = Table(occ.select("lid", "norm").join(F.broadcast(ids) if few else ids, "lid", "left_semi").groupBy("lid").agg(F.first("norm").alias("norm")), f"{name}-lines")
-    a = lines.df.select(F.col("lid").alias("src"), F.col("norm").alias("a"))
-    b = lines.df.select(F.col("lid").alias("dst"), F.col("norm").alias("b"))
-    longest = F.greatest(F.length("a"), F.length("b"))
-    met = table.df.join(a, "src").join(b, "dst").withColumn("most", F.floor((1 - F.lit(SIMILARITY)) * longest + F.lit(1e-9)).cast("int"))
+    wanted = occ.select("lid", "norm").join(F.broadcast(ids) if few else ids, "lid", "left_semi").groupBy("lid").agg(F.first("norm").alias("norm"))
+    lines = Table(wanted.select("lid", _as_characters(F.col("norm")).alias("seq")), f"{name}-lines")
+    a = lines.df.select(F.col("lid").alias("src"), F.col("seq").alias("a"))
+    b = lines.df.select(F.col("lid").alias("dst"), F.col("seq").alias("b"))
+    most = F.floor((1 - F.lit(SIMILARITY)) * F.greatest(F.length("a"), F.length("b")) + F.lit(1e-9)).cast("int")
+    met = table.df.join(a, "src").join(b, "dst").withColumn("most", most)
     out = Table(met.where(F.expr("levenshtein(a, b, most) >= 0")).select(*table.df.columns), name)
     table.drop()
     lines.drop()
@@ -78,22 +101,23 @@ def _verified(pairs: DataFrame, occ: DataFrame, name: str) -> Table:
 
 
 def line_groups(occ: DataFrame) -> DataFrame:
-    """(lid, grp) of the distinct lines that have a near line; grp is the smallest lid of the connected group.
+    """(lid, grp) of the distinct lines; grp is the smallest lid of the connected group.
 
-    First each line is compared with the smallest line of each of its blocks, which closes large groups of near copies
-    with linear work. Then the blocks are joined, and only pairs of different groups so far are compared: a pair left
+    First each line is compared with the smallest line of each of its cells, which closes large groups of near copies
+    with linear work. Then the cells are joined, and only pairs of different groups so far are compared: a pair left
     out joins two lines of one group already, so no group is lost and no group's pairs are all emitted."""
-    sizes = occ.groupBy("lid").agg(F.max(F.length("norm")).alias("len"))
-    lines = Table(simhashes(occ).join(sizes, "lid"), "simhashes").df
-    index = lines.select("lid", "fp", "len", F.explode(_blocks(F.col("fp"))).alias("k")).select("lid", "fp", "len", "k.b", "k.key")
-    heads = index.groupBy("b", "key").agg(F.min(F.struct("lid", "fp", "len")).alias("head"))
-    stars = index.join(heads, ["b", "key"]).where((F.col("lid") != F.col("head.lid")) & _near("fp", "head.fp") & _fits("len", "head.len"))
+    lines = Table(simhashes(occ), "simhashes").df
+    index = lines.select("lid", "fp", "n_words", F.explode(_cells(0)).alias("cell"))
+    heads = index.groupBy("cell").agg(F.min(F.struct("lid", "fp", "n_words")).alias("head"))
+    stars = index.join(heads, "cell").where((F.col("lid") != F.col("head.lid")) & _near("fp", "head.fp") & _fits("n_words", "head.n_words"))
     first = _verified(stars.select(F.col("lid").alias("src"), F.col("head.lid").alias("dst")).distinct(), occ, "line-stars")
-    grouped = Table(lines.join(components(first.df).withColumnRenamed("node", "lid"), "lid", "left").select("lid", "fp", "len", F.coalesce("component", "lid").alias("grp")), "line-groups").df
-    left = grouped.select("lid", "fp", "len", "grp", F.explode(_blocks(F.col("fp"))).alias("k")).select("lid", "fp", "len", "grp", "k.b", "k.key")
-    right = left.select(*(F.col(c).alias(f"{c}2") for c in ("lid", "fp", "len", "grp", "b", "key")))
-    met = left.join(right, (F.col("b") == F.col("b2")) & (F.col("key") == F.col("key2")) & (F.col("lid") < F.col("lid2")) & (F.col("grp") != F.col("grp2")) & _near("fp", "fp2") & _fits("len", "len2"))
-    pairs = met.select(F.col("lid").alias("src"), F.col("lid2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
+    grouped = Table(lines.join(components(first.df).withColumnRenamed("node", "lid"), "lid", "left").select("lid", "fp", "n_words", F.coalesce("component", "lid").alias("grp")), "line-groups").df
+    right = grouped.select(*(F.col(c).alias(f"{c}2") for c in ("lid", "fp", "n_words", "grp")), F.explode(_cells(0)).alias("cell"))
+    own = F.transform(_cells(0), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("raised")))
+    raised = F.transform(_cells(1), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("raised")))
+    left = grouped.select("lid", "fp", "n_words", "grp", F.explode(F.concat(own, raised)).alias("c")).select("lid", "fp", "n_words", "grp", "c.cell", "c.raised")
+    met = left.join(right, (left["cell"] == right["cell"]) & (F.col("raised") | (F.col("lid") < F.col("lid2"))) & (F.col("grp") != F.col("grp2")) & _near("fp", "fp2") & _fits("n_words", "n_words2"))
+    pairs = met.select(F.greatest("lid", "lid2").alias("src"), F.least("lid", "lid2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
     across = _verified(pairs, occ, "line-links")
     merged = components(across.df.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).select(F.col("node").alias("grp"), "component")
     return grouped.join(merged, "grp", "left").select("lid", F.coalesce("component", "grp").alias("grp"))
@@ -111,7 +135,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_kept, dropped) of every document; ``dropped`` lists the places from 0 of the lines that go.
 
-    Lines without a letter or digit always stay and are like no line. A null text has no lines, an empty one has one.
+    Lines of marks and spaces only always stay and are like no line. A null text has no lines, an empty one has one.
     Rows that repeat an id share their places: a line goes from all of them or stays in all of them. Lines of rows
     without an id stay. An empty table gives no rows; other columns play no part."""
     gone = dropped_lines(docs, id_col, text_col).distinct().groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))

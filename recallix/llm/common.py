@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,17 @@ def _clean() -> None:
             return
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, forget: Callable[[], None]) -> None:
+    """Called in a Python worker by an operator that remembers words between tasks: the other operators' memories go,
+    as a worker serves one stage after another and its memory must not grow with their number."""
+    for other in [k for k in _memories if k != name]:
+        _memories.pop(other)()
+    _memories[name] = forget
+
+
 class Table:
     """A DataFrame written once to the shared folder: it cuts the lineage and survives a lost executor."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, importable
+from .common import col, free_name, importable, sole_memory
 from .lexicon import Lexicon, Members, runs
 
 SHINGLE, RADIUS, BLOCKS = 5, 15, 8
@@ -132,6 +132,7 @@ def _find(docs: DataFrame, items: list[tuple[int | None, str]], id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = sent.value
+        sole_memory("decontaminate", bench.lexicon.clear)
         for b in batches:
             rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for hit in bench.find(t, threshold)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import xxhash
 
-_CACHE = 400_000
+_CACHE = 200_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 

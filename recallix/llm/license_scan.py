@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, importable
+from .common import col, importable, sole_memory
 from .lexicon import Lexicon, Members, runs
 
 RUN, WINDOW = 3, 3
@@ -163,6 +163,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
+        sole_memory("license_scan", scanner.lexicon.clear)
         kinds = (pa.int64(), pa.string(), pa.float64(), *[pa.int64()] * 5)
         for b in batches:
             rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for hit in scanner.find(t, coverage)]

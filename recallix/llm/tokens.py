@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, col, importable, new_path
+from .common import Table, col, importable, new_path, sole_memory
 from .sharding import _range_of, find_splitters
 
 _MAGIC = b"RXSST001"
@@ -174,7 +174,7 @@ class Shard:
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKED = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 120_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -268,8 +268,13 @@ def _drops_space(rules: dict) -> bool:
     return [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": "\\s+"} and steps[1].get("content") == " " and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": word} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True and cuts[1].get("add_prefix_space") is False and cuts[1].get("use_regex") is False and rules["model"].get("end_of_word_suffix") == "</w>" and not any(t.get("single_word") or t.get("normalized") or t["content"] != "".join(t["content"].split()) for t in rules.get("added_tokens", []))
 
 
+def _nothing() -> None:
+    """Writing and reading files remember no words."""
+
+
 def encoder(spec: str) -> Encoder:
     """This process's encoder for a tokenizer file's text; it lives as long as the worker."""
+    sole_memory("tokens", _encoders.clear)
     key = xxhash.xxh64_hexdigest(spec)
     if key not in _encoders:
         _encoders[key] = Encoder(spec)
@@ -279,7 +284,7 @@ def encoder(spec: str) -> Encoder:
 # Operators ---------------------------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, shard_bytes: int = 32 << 20) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, shard_bytes: int = 16 << 20) -> None:
     """Encode every whole text, add ``end_id``, and write shards in ascending id order to ``path``.
 
     Shards are ranges of ids of about ``shard_bytes`` text bytes, cut by the histogram sort of operator 4. Null and
@@ -308,6 +313,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], pa.binary())], ["id", "ids"])
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("token files", _nothing)
         w = ShardWriter(width)
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -331,6 +337,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
 
     def footer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("token files", _nothing)
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = Shard(memoryview(data.as_buffer()))

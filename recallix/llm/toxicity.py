@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, col, importable
+from .common import Table, col, importable, sole_memory
 
 ALPHABET = 32
 SPANS = {3: 6, 4: 7}  # letters of a subsequence: most characters it may span
 DECAY = 0.5
 MAX_UNIT, STEP = 24, 12
-_CACHE_UNITS = 400_000
+_CACHE_UNITS = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]+){2,}[^\W\d_](?![^\W\d_])")
 
@@ -294,6 +294,7 @@ _memories: dict[str, _Memory] = {}
 
 def _values(texts: list[str | None], model: Model) -> list[float]:
     """Decision values of texts, some hundreds at a time; values of units met before come from this process's memory."""
+    sole_memory("toxicity", _memories.clear)
     key = f"{model.bias!r}:{[float(t.sum(dtype=np.float64)) for t in model.tables.values()]!r}"
     for old in [k for k in _memories if k != key]:
         del _memories[old]

@@ -116,7 +116,9 @@ def disclosing_terms(source: DataFrame, found: DataFrame, generalise: float = GE
     if wanted.count() <= _BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     words = source.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    # Counted before the join, so that each task sums its own words and only sums meet the wanted terms. An inner join
+    # with distinct terms: a semi join would be pushed below the sums again.
+    with_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(wanted, "term")
     total = F.lit(float(source.count()))
     content = F.log(total / F.col("df_e"))
     share = F.when(content > 0, 1 + F.log(F.col("both") / F.greatest("df_t", "both")) / content).otherwise(F.lit(0.0))

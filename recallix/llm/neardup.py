@@ -5,6 +5,9 @@ The Manhattan distance of two embeddings never exceeds the Hamming distance of t
 the embeddings loses no link. The join runs on a grid: the segments are dealt into groups so that at least one group of
 any linked pair is at most one apart, and each group's counts, as they are and with one count raised by one, are the
 cells in which pairs meet. Pairs that meet pass the Manhattan bound first and the exact Hamming distance last.
+
+No radius that such a grid can carry finds nearly all texts that are similar enough, so the pipeline's stage
+(``near_dedup``) takes its candidates from bands of min-hashes of the shingles that the similarity is defined on.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ SEGMENTS = 32
 SEED = 42
 _SLICE = 1 << 15
 _BROADCAST_IDS = 1_000_000
+#: Near copies by similarity: bands of minima, minima in a band, and the orders the minima are taken in.
+BANDS, ROWS = 24, 6
+_BLOCK = 1 << 12
+_RANDOM = np.random.default_rng(SEED)
+_FLIPS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -181,14 +190,115 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return marks.join(found, "fp", "left").select("id", "fp", "component")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 7, least: float | None = 0.8) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the smallest id, with all columns as they were.
+def _elements(hashes: np.ndarray) -> np.ndarray:
+    """A multiset of shingles as a set: the n-th repeat of a shingle is an element of its own."""
+    if not len(hashes):
+        return hashes
+    own = np.sort(hashes)
+    at = np.arange(len(own))
+    first = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], at, 0))
+    return own + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least element under each of BANDS * ROWS orders; two texts agree in one with the chance of their similarity."""
+    elements, out = _elements(hashes), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(elements), _BLOCK):
+        out = np.minimum(out, ((elements[i : i + _BLOCK, None] ^ _FLIPS) * _FACTORS).min(axis=0))
+    return out
+
 
-    Of rows that repeat an id one stays. Rows without an id can't be named in a class, and all stay."""
-    found = classes(docs, id_col, text_col, words, radius, least)
-    gone = found.where("id != component").select(F.col("id").alias("_rx_gone")).distinct()
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, h, key, n, cells, sketch) of every row: the text's hash, the hash of its words, its number of shingles, one
+    cell for each band of minima, and a byte of each minimum. A text without words has no cells."""
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes, cells, sketches = [], [], [], []
+            for t in b.column(2).to_pylist():
+                tokens = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                hashes = shingle_hashes(t, words)
+                least = minima(hashes)
+                keys.append(_signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)))
+                sizes.append(len(hashes))
+                cells.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else [])
+                sketches.append(least.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "h", "key", "n", "cells", "sketch"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, h long, key long, n long, cells array<long>, sketch binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = col(text_col).cast("string")
+    return docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, words: int) -> Table:
+    """The pairs (src, dst, and what else they have) of nodes whose whole texts are similar enough. Pairs whose sketches
+    agree far less than such texts' do go first; then only texts that occur in a pair are fetched, one for each node."""
+    rest = pairs.columns
+    enough = BANDS * ROWS * least - 5.5 * (BANDS * ROWS * least * (1 - least)) ** 0.5
+    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{name}"), F.col("sketch").alias(name))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            a, b = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in "ab")
+            yield from t.select(rest).filter(pa.array((a == b).sum(axis=1) >= enough, pa.bool_())).to_batches()
+
+    sized = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9))
+    table = Table(sized.select(*rest, "a", "b").mapInArrow(close, ", ".join(f"{c} long" for c in rest)), "pairs")
+    ends = table.df.select(F.col("src").alias("node")).unionByName(table.df.select(F.col("dst").alias("node"))).distinct()
+    wanted = Table(nodes.select("node", "id", "h").join(ends, "node", "left_semi"), "wanted").df
+    few = wanted.count() <= _BROADCAST_IDS
+    texts = Table(docs.join(F.broadcast(wanted) if few else wanted, ["id", "h"]).groupBy("node").agg(F.min("text").alias("text")), "texts").df
+    both = table.df.join(texts.withColumnsRenamed({"node": "src", "text": "a"}), "src").join(texts.withColumnsRenamed({"node": "dst", "text": "b"}), "dst").select(*rest, "a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            keep = [similarity(a, b, words) >= least for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+            yield from t.select(rest).filter(pa.array(keep, pa.bool_())).to_batches()
+
+    return Table(both.mapInArrow(check, ", ".join(f"{c} long" for c in rest)), "alike")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, h, first) of every row with an id: the hash of its text and the smallest id of its group of near copies.
+
+    Groups are connected by a similarity of whole texts of at least ``least``. Candidates share a band of minima: two
+    texts of similarity s do but for a chance of (1 - s ** ROWS) ** BANDS, 0.0007 at 0.8. Two passes compare each text
+    with one text of each of its cells, the last one joins cells that still hold more than one group."""
+    marks = Table(signatures(docs.where(col(id_col).isNotNull()), id_col, text_col, words), "signatures").df
+    one = marks.groupBy("key").agg(F.min(F.struct("id", "h")).alias("r")).select(F.col("r.id").alias("id"), F.col("r.h").alias("h"))
+    nodes = Table(marks.join(one, ["id", "h"], "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node"), "nodes").df
+    texts = _texts(docs, id_col, text_col)
+    groups = nodes.select("node", F.col("node").alias("grp"))
+    for pick in (F.min, F.max, None):
+        index = nodes.select("node", F.explode("cells").alias("cell")).join(groups, "node")
+        shared = index.groupBy("cell").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), (pick or F.min)(F.struct("node", "grp")).alias("head")).where("low != high").select("cell", "head")
+        index = index.join(shared, "cell")
+        if pick:
+            met = index.select("node", "grp", F.col("head.node").alias("node2"), F.col("head.grp").alias("grp2")).where("grp != grp2")
+        else:
+            other = index.select("cell", F.col("node").alias("node2"), F.col("grp").alias("grp2"))
+            met = index.join(other, "cell").where("grp < grp2").select("node", "grp", "node2", "grp2")
+        pairs = met.select(F.greatest("node", "node2").alias("src"), F.least("node", "node2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
+        alike = _alike(pairs, nodes, texts, least, words)
+        merged = components(alike.df.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).withColumnRenamed("node", "grp")
+        groups = Table(groups.join(merged, "grp", "left").select("node", F.coalesce("component", "grp").alias("grp")), "groups").df
+    named = marks.select("id", "h", F.col("key").alias("node")).join(groups, "node")
+    return named.join(named.groupBy("grp").agg(F.min("id").alias("first")), "grp").select("id", "h", "first")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id, with all columns as they were.
+
+    Of rows that repeat an id one stays. Rows without an id can't be named in a group, and all stay."""
+    gone = copies(docs, id_col, text_col, words, least).where("id != first").select(F.col("id").alias("_rx_gone")).distinct()
     kept = docs.join(gone, col(id_col).cast("long") == F.col("_rx_gone"), "left_anti").select(*(col(c) for c in docs.columns))
     return one_per_id(kept, id_col)
 
 
-__all__ = ["classes", "fingerprints", "link_groups", "majority", "near_dedup", "shingle_hashes"]
+__all__ = ["classes", "copies", "fingerprints", "link_groups", "majority", "near_dedup", "shingle_hashes"]

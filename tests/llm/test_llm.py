@@ -317,6 +317,39 @@ def test_near_copies_go_and_clean_texts_stay(spark):
     assert kept >= set(range(40)) and len(kept) <= 42
 
 
+def test_near_dedup_equals_brute_force_on_similarity_alone(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(80, 400, 40)]
+    for t in texts[:40]:
+        for share in (0.008, 0.016, 0.022):
+            ws = np.array(t.split(), dtype=object)
+            ws[rng.choice(len(ws), max(1, int(share * len(ws))), replace=False)] = "changed"
+            texts.append(" ".join(ws))
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if neardup.similarity(texts[i], texts[j]) >= 0.8:
+                far += (brute_print(texts[i]) ^ brute_print(texts[j])).bit_count() > 7
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    kept = {r[0] for r in neardup.near_dedup(table(spark, texts)).select("doc_id").collect()}
+    assert far > 10 and kept == {i for i in range(len(texts)) if top(i) == i}
+
+
+def test_near_dedup_of_the_tables_takes_copies_beyond_seven_bits(spark, docs):
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r[0] for r in neardup.near_dedup(docs).select("doc_id").collect()}
+    assert kept == brute_near_dedup(rows, radius=64) != brute_near_dedup(rows)
+
+
 def test_groups_of_links(spark):
     rng = np.random.default_rng(6)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(300, 420)] + [(None, 1), (5, None), (7, 7)]

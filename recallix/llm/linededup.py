@@ -1,25 +1,31 @@
 """Fuzzy line deduplication with DataFrame operations only (operator 8).
 
-Lines are normalised (lower case, ASCII marks become spaces, runs of spaces one space) and told apart by a hash. Each
-line gets a 64-bit SimHash of its words. Lines at most three bits apart agree in one of four 16-bit blocks, and lines
-that are similar enough have nearly as many words, so a join on block and length class finds them all; the edit
-similarity of the word sequences then decides. Of each connected group one occurrence stays, the first by document id
-and position.
-
-The SimHash is made of sums: four bits of a hash stand in one 64-bit number as four 16-bit counters, and 16 such sums
+Lines are normalised (lower case, ASCII marks become spaces, runs of spaces one space) and told apart by a hash. A line
+of n words that is at least 0.8 similar to one as long or shorter differs from it by e = n / 5 edits at most. Cut into
+e + 1 segments, it has one that no edit touches, so the other line holds the segment's words as they are, at most e
+places off. A join on the first words of segments (four, fewer in short lines) with all such runs of words therefore
+finds every pair; the edit similarity of the word sequences then decides. Of each connected group one occurrence stays,
+the first by document id and position.
+
+A 64-bit SimHash of a line's words (``simhashes``) plays no part in this. It is made of sums: four bits of a hash stand in one 64-bit number as four 16-bit counters, and 16 such sums
 count all 64 bits inside the code-generated aggregate. Lines of more words than such a counter holds take 32 sums of
 two 32-bit counters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Table, col, components
 
-BLOCKS, RADIUS, SIMILARITY = 4, 3, 0.8
-_LENGTH_BASE = 1.26  # a little over 1 / SIMILARITY: lines that can be similar are at most one class apart
+SIMILARITY = 0.8
+_RUN, _LONG = 4, 16  # lines of _LONG words or more have segments of _RUN words at least
+_LEAST = 4  # shorter lines can't be near to another one: an edit of a line of four words is more than is allowed
+_SLICES, _CLEANUP = 2, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SHORT = (1 << 15) - 1  # the topmost counter shares its bits with the sign
 _BROADCAST_IDS = 1_000_000
 
@@ -59,20 +65,77 @@ def simhashes(occ: DataFrame) -> DataFrame:
     return both.groupBy("lid").agg(F.min("fp").alias("fp")).join(sizes, "lid")
 
 
-def _cells(up: int) -> Column:
-    """One number for each block of a line: the block's place, its bits, and the line's length class raised by ``up``."""
-    width = 64 // BLOCKS
-    size = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(_LENGTH_BASE))).cast("long") + up
-    return F.array(*(F.shiftrightunsigned("fp", b * width).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(b << width)).bitwiseOR(F.shiftleft(size, width + 3)) for b in range(BLOCKS)))
+def _edits(n: Column) -> Column:
+    """The most word edits that a line of n words, the longer of two, is allowed."""
+    return F.floor((1 - F.lit(SIMILARITY)) * n + F.lit(1e-9)).cast("int")
+
+
+def _segment(n: Column) -> Column:
+    """The length of each of a line's segments, one more than its edits: any line it may be near to has one unchanged."""
+    return F.floor(n / (_edits(n) + 1)).cast("int")
+
+
+def distinct_lines(occ: DataFrame) -> DataFrame:
+    """(lid, norm, n_words, parity) of the distinct lines; parity has a bit for each of 64 classes of words, set if the
+    line holds an odd number of them. A word edit changes two bits at most."""
+    bits = F.transform(F.split("norm", " "), lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")))
+    parity = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+    return occ.select("lid", "norm", "n_words").dropDuplicates(["lid"]).withColumn("parity", parity)
+
+
+def _runs(lines: DataFrame) -> DataFrame:
+    """(run, lid, place) of the runs of words by which near lines meet: the longer line of a pair shows the start of an
+    unchanged segment, the other one holds the same run. place has the line's number of words, the run's position and
+    whether a segment starts there in its bits from 32, from 1 and at 0. Runs have _RUN words, shorter ones
+    are for lines whose segments are shorter."""
+    n = F.col("n_words").cast("int")
+    own = F.least(_segment(n), F.lit(_RUN))
+    words = lines.select("lid", n.alias("n"), own.alias("own"), _segment(n).alias("step"), F.split("norm", " ").alias("w")).where(F.col("n") >= _LEAST)
+    longest = F.floor(F.col("n") / F.lit(SIMILARITY) + F.lit(1e-9)).cast("int")
+    out = None
+    for k in range(1, _RUN + 1):
+        # Lines of this or a longer length, up to what may be near, whose segments give runs of k words.
+        used = F.array_contains(F.transform(F.sequence("n", longest), lambda m: F.least(_segment(m), F.lit(_RUN))), F.lit(k))
+        some = words.where((F.col("n") >= k) & (F.when(F.col("n") < _LONG, used).otherwise(F.lit(k == _RUN))))
+        at = some.select("lid", "n", "own", "step", "w", F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("pos"))
+        starts = (F.col("own") == k) & (F.col("pos") % F.col("step") == 0) & (F.floor(F.col("pos") / F.col("step")) <= _edits(F.col("n")))
+        packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(starts.cast("long"))
+        part = at.select(F.xxhash64(*(F.get("w", F.col("pos") + i) for i in range(k))).alias("run"), "lid", packed.alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Each query's shuffle files go when it ends; what later steps need are tables."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+def _shared_runs(lines: DataFrame) -> DataFrame:
+    """(run, lid, n, pos, starts) of the runs that two lines have and one of them shows, in slices by the run's hash:
+    most runs of words occur once, and a slice's shuffle files go before the next one is dealt out."""
+    of_run, out = Window.partitionBy("run"), None
+    for i in range(_SLICES):
+        dealt = _runs(lines).where(F.pmod("run", F.lit(_SLICES)) == i)
+        shared = dealt.withColumn("low", F.min("lid").over(of_run)).withColumn("high", F.max("lid").over(of_run)).withColumn("shown", F.max(F.col("place").bitwiseAND(F.lit(1))).over(of_run))
+        part = Table(shared.where("low != high and shown = 1").select("run", "lid", "place"), "runs").df
+        out = part if out is None else out.unionByName(part)
+    n, pos = F.shiftrightunsigned("place", 32).cast("int"), F.shiftrightunsigned("place", 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return out.select("run", "lid", n.alias("n"), pos.alias("pos"), (F.col("place").bitwiseAND(F.lit(1)) == 1).alias("starts"))
 
 
-def _fits(a: str, b: str) -> Column:
-    """No edit similarity is above the ratio of the lengths."""
-    return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
+def _meet(a: str, b: str) -> Column:
+    """Whether a line that shows a segment and one that holds it can be near: by length, by the words before and after
+    the run, whose differences all take edits, and by the parity of their words. Never false for near lines."""
+    x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    before = x("pos") - y("pos")
+    after = (x("n") - y("n")) - before
+    return x("starts") & (x("lid") != y("lid")) & (x("n") >= y("n")) & (F.abs(before) + F.abs(after) <= _edits(x("n"))) & (F.bit_count(x("parity").bitwiseXOR(y("parity"))) <= 2 * _edits(x("n")))
 
 
 def _as_characters(norm: Column) -> Column:
@@ -82,45 +145,50 @@ def _as_characters(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def _verified(pairs: DataFrame, occ: DataFrame, name: str) -> Table:
+def _verified(pairs: DataFrame, lines: DataFrame, name: str) -> Table:
     """Pairs (src, dst, and what else they have) whose lines' edit similarity is high enough. Only lines that occur in a
-    pair are fetched, one copy each."""
+    pair are fetched."""
     table = Table(pairs, f"{name}-pairs")
     ids = table.df.select(F.col("src").alias("lid")).unionByName(table.df.select(F.col("dst").alias("lid"))).distinct()
     few = ids.count() <= _BROADCAST_IDS
-    wanted = occ.select("lid", "norm").join(F.broadcast(ids) if few else ids, "lid", "left_semi").groupBy("lid").agg(F.first("norm").alias("norm"))
-    lines = Table(wanted.select("lid", _as_characters(F.col("norm")).alias("seq")), f"{name}-lines")
-    a = lines.df.select(F.col("lid").alias("src"), F.col("seq").alias("a"))
-    b = lines.df.select(F.col("lid").alias("dst"), F.col("seq").alias("b"))
-    most = F.floor((1 - F.lit(SIMILARITY)) * F.greatest(F.length("a"), F.length("b")) + F.lit(1e-9)).cast("int")
-    met = table.df.join(a, "src").join(b, "dst").withColumn("most", most)
+    wanted = lines.select("lid", "norm").join(F.broadcast(ids) if few else ids, "lid", "left_semi")
+    coded = Table(wanted.select("lid", _as_characters(F.col("norm")).alias("seq")), f"{name}-lines")
+    a = coded.df.select(F.col("lid").alias("src"), F.col("seq").alias("a"))
+    b = coded.df.select(F.col("lid").alias("dst"), F.col("seq").alias("b"))
+    met = table.df.join(a, "src").join(b, "dst").withColumn("most", _edits(F.greatest(F.length("a"), F.length("b"))))
     out = Table(met.where(F.expr("levenshtein(a, b, most) >= 0")).select(*table.df.columns), name)
     table.drop()
-    lines.drop()
+    coded.drop()
     return out
 
 
 def line_groups(occ: DataFrame) -> DataFrame:
     """(lid, grp) of the distinct lines; grp is the smallest lid of the connected group.
 
-    First each line is compared with the smallest line of each of its cells, which closes large groups of near copies
-    with linear work. Then the cells are joined, and only pairs of different groups so far are compared: a pair left
-    out joins two lines of one group already, so no group is lost and no group's pairs are all emitted."""
-    lines = Table(simhashes(occ), "simhashes").df
-    index = lines.select("lid", "fp", "n_words", F.explode(_cells(0)).alias("cell"))
-    heads = index.groupBy("cell").agg(F.min(F.struct("lid", "fp", "n_words")).alias("head"))
-    stars = index.join(heads, "cell").where((F.col("lid") != F.col("head.lid")) & _near("fp", "head.fp") & _fits("n_words", "head.n_words"))
-    first = _verified(stars.select(F.col("lid").alias("src"), F.col("head.lid").alias("dst")).distinct(), occ, "line-stars")
-    grouped = Table(lines.join(components(first.df).withColumnRenamed("node", "lid"), "lid", "left").select("lid", "fp", "n_words", F.coalesce("component", "lid").alias("grp")), "line-groups").df
-    right = grouped.select(*(F.col(c).alias(f"{c}2") for c in ("lid", "fp", "n_words", "grp")), F.explode(_cells(0)).alias("cell"))
-    own = F.transform(_cells(0), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("raised")))
-    raised = F.transform(_cells(1), lambda c: F.struct(c.alias("cell"), F.lit(True).alias("raised")))
-    left = grouped.select("lid", "fp", "n_words", "grp", F.explode(F.concat(own, raised)).alias("c")).select("lid", "fp", "n_words", "grp", "c.cell", "c.raised")
-    met = left.join(right, (left["cell"] == right["cell"]) & (F.col("raised") | (F.col("lid") < F.col("lid2"))) & (F.col("grp") != F.col("grp2")) & _near("fp", "fp2") & _fits("n_words", "n_words2"))
-    pairs = met.select(F.greatest("lid", "lid2").alias("src"), F.least("lid", "lid2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
-    across = _verified(pairs, occ, "line-links")
-    merged = components(across.df.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).select(F.col("node").alias("grp"), "component")
-    return grouped.join(merged, "grp", "left").select("lid", F.coalesce("component", "grp").alias("grp"))
+    Runs that only one line has go at once. Then each line is compared with one line of each of its runs, which closes
+    large groups of near copies with linear work. Then the runs that still have lines of more
+    than one group are joined, and only pairs of different groups so far are compared: a pair left out joins two lines
+    of one group already, so no group is lost and no group's pairs are all emitted."""
+    with _shuffle_files_go(occ.sparkSession):
+        lines = Table(distinct_lines(occ), "distinct-lines").df
+        runs = _shared_runs(lines)
+        groups = lines.select("lid", "parity", F.col("lid").alias("grp"))
+        for stars in (True, False):
+            known = runs.join(groups, "lid")
+            row = F.struct("lid", "grp", "n", "pos", "starts", "parity")
+            # A head shows a segment itself, and is the longer or the shorter line of the pair.
+            mixed = known.groupBy("run").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min(F.when(F.col("starts"), row)).alias("head")).where("low != high and head is not null").select("run", "head")
+            if stars:
+                both = known.select("run", row.alias("x")).join(mixed, "run").select("x", F.col("head").alias("y"))
+                met = both.where((F.col("x.grp") != F.col("y.grp")) & (_meet("x.", "y.") | _meet("y.", "x.")))
+            else:
+                left = known.select("run", row.alias("x")).join(mixed.select("run"), "run")
+                met = left.where("x.starts").join(left.withColumnRenamed("x", "y"), "run").where((F.col("x.grp") != F.col("y.grp")) & _meet("x.", "y."))
+            pairs = met.select(F.greatest("x.lid", "y.lid").alias("src"), F.least("x.lid", "y.lid").alias("dst"), F.greatest("x.grp", "y.grp").alias("g1"), F.least("x.grp", "y.grp").alias("g2")).distinct()
+            near = _verified(pairs, lines, "line-links")
+            merged = components(near.df.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).withColumnRenamed("node", "grp")
+            groups = Table(groups.join(merged, "grp", "left").select("lid", "parity", F.coalesce("component", "grp").alias("grp")), "line-groups").df
+        return groups.select("lid", "grp")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

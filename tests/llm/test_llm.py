@@ -492,6 +492,35 @@ def test_lines_equal_brute_force(spark):
         assert out[i] == "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in want)
 
 
+def test_lines_equal_brute_force_on_edits_alone(spark):
+    rng = np.random.default_rng(18)
+    vocab = [f"term{i}" for i in range(300)]
+    lines = []
+    for n in [*range(1, 34), 45, 80]:
+        base = list(rng.choice(vocab, n))
+        lines.append(base)
+        for edits in {1, n // 5, n // 5 + 1}:
+            ws = list(base)
+            for i in sorted(rng.choice(n, min(edits, n), replace=False), reverse=True):
+                kind = rng.integers(3)
+                ws[i : i + 1] = [["other"], [], [ws[i], "more"]][kind]
+            lines.append(ws)
+    lines = [x for x in lines if x]
+    up = list(range(len(lines)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if edit(a, lines[j]) <= 0.2 * max(len(a), len(lines[j])) + 1e-9:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    got = {(r["id"], r["pos"]) for r in linededup.dropped_lines(table(spark, ["\n".join(" ".join(x) for x in lines)])).collect()}
+    assert got == {(0, i) for i in range(len(lines)) if top(i) != i} and len(got) > 50
+
+
 def test_lines_awkward(spark, awkward, empty):
     rows = {r["id"]: r for r in linededup.line_report(awkward).collect()}
     assert rows[8]["dropped"] == "3" and rows[8]["n_lines"] == 4 and rows[6]["n_kept"] == 0 and rows[5]["n_kept"] == 1

@@ -27,7 +27,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}"
-NEAR_CHARS, NEAR_WORDS = 160, 8
 MIN_DOCS, GENERALISE, REMOVE = 3, 0.8, 0.95
 _BROADCAST_ROWS = 500_000
 
@@ -94,24 +93,20 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def _near_words(text: Column, span: Column) -> Column:
-    """Terms among the few words before and after a span."""
-    first = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    after = F.substring(text, span["stop"] + 1, F.lit(NEAR_CHARS))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
-    left = words(before)
-    return F.array_distinct(F.concat(F.slice(left, F.greatest(F.size(left) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), F.slice(words(after), 1, NEAR_WORDS)))
-
-
 def disclosing_terms(source: DataFrame, found: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least the share ``generalise`` of an entity.
 
-    ``found`` has (id, h, entity, terms) for each entity found. Documents are counted over the whole corpus, rows that
-    repeat a document once. A term must stand near the entity in ``min_docs`` documents: fewer give no estimate."""
-    held = found.select("id", "h", "entity", F.explode("terms").alias("term")).distinct()
-    joint = Table(held.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_docs), "joint").df
-    with_entity = found.select("id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    ``found`` has (id, h, entity) for each entity found. Documents are counted over the whole corpus, rows that repeat a
+    document once. A term must stand in ``min_docs`` documents of the entity, anywhere in them: fewer give no estimate.
+    An entity of fewer documents has no such term, so only texts that hold one of enough documents are read for this."""
+    held = found.select("id", "h", "entity").distinct()
+    with_entity = Table(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= min_docs), "entities").df
+    often = with_entity.select("entity")
+    holders = Table(held.join(F.broadcast(often) if often.count() <= _BROADCAST_ROWS else often, "entity").groupBy("id", "h").agg(F.collect_list("entity").alias("entities")).withColumnsRenamed({"id": "i2", "h": "h2"}), "holders").df
+    side = F.broadcast(holders) if holders.count() <= _BROADCAST_ROWS // 10 else holders
+    texts = source.join(side, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).dropDuplicates(["id", "h"])
+    terms = texts.select("entities", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    joint = Table(terms.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_docs), "joint").df
     wanted = joint.select("term").distinct()
     if wanted.count() <= _BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -132,8 +127,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gener
     h is the hash of the text; base and terms are spans (start, rank, stop, value), the terms' without those that
     overlap a base span, with their share as rank 4 (generalise) or 5 (remove)."""
     source = _source(docs, id_col, text_col)
-    base = Table(source.select("id", "h", base_spans(F.col("text")).alias("base"), "text").select("id", "h", "base", F.when(F.size("base") > 0, F.transform("base", lambda s: F.struct(F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["rank"] + 1), F.lower(s["value"])).alias("entity"), _near_words(F.col("text"), s).alias("terms")))).alias("near")), "pii").df
-    found = base.where("near is not null").select("id", "h", F.explode("near").alias("n")).select("id", "h", "n.entity", "n.terms")
+    entities = F.transform("base", lambda s: F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["rank"] + 1), F.lower(s["value"])))
+    base = Table(source.select("id", "h", base_spans(F.col("text")).alias("base")).select("id", "h", "base", F.when(F.size("base") > 0, F.array_distinct(entities)).alias("entities")), "pii").df
+    found = base.where("entities is not null").select("id", "h", F.explode("entities").alias("entity"))
     telling = Table(disclosing_terms(source, found, generalise, min_docs), "disclosing").df
     flagged = found.select("id", "h", "entity").join(telling, "entity").groupBy("id", "h", "term").agg(F.max("share").alias("share")).groupBy("id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     flagged = Table(flagged.join(base.select("id", "h", "base").dropDuplicates(["id", "h"]).withColumnsRenamed({"id": "i2", "h": "h2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).select("id", "h", "shares", "base"), "flagged").df

@@ -634,6 +634,19 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[EMAIL]" in clean[60] and "wolf" not in clean[60].lower() and clean[3] == texts[3]
 
 
+def test_terms_far_from_an_entity_count_by_document(spark):
+    rng = np.random.default_rng(21)
+    vocab = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ren", "sto", "pul") for c in ("da", "fe", "gu", "ho")]
+    filler = lambda: " ".join(rng.choice(vocab, 60))
+    letters = [f"Zentralwerk {filler()} wolf@host.org {'Halbmond ' if i % 2 else ''}{filler()} {'' if i % 2 else 'Halbmond'}" for i in range(8)]
+    texts = [filler() for _ in range(60)] + letters
+    rows = {r["id"]: r["spans"] for r in pii.report(table(spark, texts)).collect()}
+    for i in range(60, 68):
+        terms = {texts[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].split(",")) if k == "term"}
+        assert terms == {"Zentralwerk", "Halbmond"}
+    assert not any(rows[i] for i in range(60))
+
+
 def test_pii_awkward(spark, awkward, empty):
     rows = pii.report(awkward).collect()
     assert len(rows) == awkward.count() and all(r["spans"] == "" for r in rows)

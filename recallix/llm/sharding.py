@@ -13,8 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Table, col, free_name, importable
@@ -60,7 +61,8 @@ def _count_below(table: DataFrame, probes: list[int]) -> dict[int, tuple[int, in
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(size[used]), pa.array(rows[used])], ["slot", "size", "n"])
 
     counted = table.select("h", "d", "size").mapInArrow(run, "slot long, size long, n long")
-    got = {r["slot"]: (int(r["size"]), int(r["n"])) for r in counted.groupBy("slot").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()}
+    sums = counted.groupBy("slot").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).toArrow()
+    got = dict(zip(sums["slot"].to_pylist(), zip(sums["size"].to_pylist(), sums["n"].to_pylist(), strict=True), strict=True))
     out, size, n = {}, 0, 0
     for i, k in enumerate(probes):
         s, m = got.get(i, (0, 0))
@@ -146,27 +148,46 @@ def exchange(docs: DataFrame, cut: Splitters, shards: int, per_shard: int, id_co
     text = col(text_col).cast("string")
     names = list(docs.columns)
     made = {}
-    for stem in ("_h", "_d", "_size", "_part", "_shard", "_slot"):
+    for stem in ("_h", "_d", "_size", "_part", "_shard", "_slot", "_base"):
         made[stem] = free_name((*names, *made.values()), stem)
-    h, d, size, part, shard_col, slot = made.values()
+    h, d, size, part, shard_col, slot, base = made.values()
     keyed = docs.withColumns({h: F.coalesce(F.xxhash64(text), F.lit(0)), d: F.coalesce(col(id_col).cast("long"), F.lit(0)), size: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD})
-    keyed = keyed.withColumn(part, _range_of(F.col(h), F.col(d), cut.keys))
-    parts = shards * per_shard
+    parts, rows = shards * per_shard, [0, *cut.rows_below]
+    where = range_of(docs.sparkSession, cut.keys, [rows[p] - rows[p - p % per_shard] for p in range(parts)])
+    keyed = keyed.withColumn(base, where(F.col(h), F.col(d))).withColumns({part: F.col(f"`{base}`.part"), base: F.col(f"`{base}`.base")})
     sorted_rows = keyed.repartitionById(parts, F.col(part)).sortWithinPartitions(h, d)
-    rows = [0, *cut.rows_below]
-    starts = F.array(*(F.lit(rows[p] - rows[p - p % per_shard]).cast("long") for p in range(parts)))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     out = sorted_rows.withColumn(shard_col, (F.col(part) / per_shard).cast("int") if per_shard > 1 else F.col(part))
-    return out.withColumn(slot, row + F.element_at(starts, F.col(part) + 1)).drop(h, d)
+    return out.withColumn(slot, row + F.col(base)).drop(h, d, base)
+
+
+def number_of_range(high: np.ndarray, low: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many of the sorted boundaries (high, low) are at or below each key (h, d)."""
+    out, ends = np.searchsorted(high, h, "left"), np.searchsorted(high, h, "right")
+    tied = np.flatnonzero(ends > out)  # boundaries with the key's first half: the second half decides
+    if len(tied):
+        groups = np.split(tied[np.argsort(out[tied], kind="stable")], np.flatnonzero(np.diff(np.sort(out[tied]))) + 1)
+        for rows in groups:
+            a, b = int(out[rows[0]]), int(ends[rows[0]])
+            out[rows] = a + np.searchsorted(low[a:b], d[rows], "right")
+    return out
+
+
+def halves(keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second halves of boundaries."""
+    both = np.array([_halves(k) for k in keys], np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
 
+def range_of(spark: SparkSession, keys: list[int], bases: list[int] | None = None):
+    """A column function of (h, d): the number of boundaries at or below the key, as ``part``, and that range's entry of
+    ``bases`` as ``base``. The boundaries go to the executors as one sorted array, 16 bytes each, and are bisected."""
+    sent = spark.sparkContext.broadcast((*halves(keys), np.array(bases or [0] * (len(keys) + 1), np.int64)))
 
-def _range_of(h, d, keys: list[int]):
-    """The number of boundaries at or below a key: a balanced tree of comparisons, fit for code generation."""
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        a, b = _halves(keys[mid])
-        return F.when((h < a) | ((h == a) & (d < b)), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    @F.pandas_udf("part int, base long")
+    def locate(h: pd.Series, d: pd.Series) -> pd.DataFrame:
+        high, low, base = sent.value
+        part = number_of_range(high, low, h.to_numpy(), d.to_numpy())
+        return pd.DataFrame({"part": part.astype(np.int32), "base": base[part]})
 
-    return tree(0, len(keys)).cast("int")
+    return locate

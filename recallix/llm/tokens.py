@@ -21,20 +21,22 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Table, col, importable, new_path, sole_memory
-from .sharding import _range_of, find_splitters
+from .sharding import find_splitters, halves, number_of_range
 
 _MAGIC = b"RXSST001"
 #: records, ids, index offset, index length, filter offset, filter length, hash functions, width of an id, magic.
@@ -172,93 +174,155 @@ class Shard:
 # Encoding ----------------------------------------------------------------------------------------------------------
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARKED = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_CACHE_WORDS = 120_000
+_MARKED = f"^[{_LETTERS}]+[!-/:-@\\[-`{{-~]*$"
+_KNOWN_PIECES = 250_000
+_TEXT_BYTES, _WORDS = 4 << 20, 1 << 18
+_ROWS_SENT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _encoders: dict[str, Encoder] = {}
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What the driver reads from a tokenizer's file for all workers: bytes of an id, whether texts may be encoded word
+    by word, and which ids end a word."""
+
+    width: int
+    by_word: bool
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, spec: str) -> Rules:
+        rules = json.loads(spec)
+        vocab = rules["model"]["vocab"]
+        pairs = list(vocab.items()) if isinstance(vocab, dict) else [(v[0], i) for i, v in enumerate(vocab)]
+        pairs += [(t["content"], t["id"]) for t in rules.get("added_tokens", [])]
+        top = max(i for _, i in pairs)
+        ends = np.zeros(top + 1, bool)
+        ends[[i for t, i in pairs if t.endswith("</w>")]] = True
+        return cls(2 if top < 1 << 16 else 4, _drops_space(rules), ends)
+
+
 class Encoder:
-    """Ids of whole texts as bytes; words met before come from a bounded memory of this process.
+    """Ids of whole texts as bytes; pieces of words met before come from a bounded memory of this process.
 
     White space never meets other characters inside a token of a tokenizer that drops it, so a text's ids are those of
-    its words one after another. Where the file's rules are not of that kind, whole texts are encoded.
+    its words one after another, and those of letters with marks after them are the letters' and the marks'. The words
+    of a batch are split, told apart and put together again as Arrow and numpy arrays; only pieces that are new to the
+    memory go to the tokenizer. Where the file's rules are not of that kind, whole texts are encoded.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, rules: Rules | None = None):
         from tokenizers import Tokenizer
 
-        rules = json.loads(spec)
+        rules = rules or Rules.of(spec)
         self.tokenizer = Tokenizer.from_str(spec)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.by_word = _drops_space(rules)
-        if self.by_word:
-            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def pack(self, ids) -> bytes:
-        return np.asarray(ids, f"<u{self.width}").tobytes()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.width, self.by_word, self.ends = rules.width, rules.by_word, rules.ends
+        self.kind = np.dtype(f"<u{self.width}")
+        self.forget()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self.whole(texts)
-        # Python's split takes the characters 28 to 31 for white space, the tokenizer does not.
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*split) - self.words.keys()
-        if self.older:  # words in use move on to the younger generation, the others go with the older one
-            known = new & self.older.keys()
-            self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
-            new -= known
-        self.learn(new)
-        get = self.words.__getitem__
-        out = [self.whole([t])[0] if o else b"".join(map(get, w)) for t, o, w in zip(texts, odd, split, strict=True)]
-        if len(self.words) > _CACHE_WORDS:
-            self.older, self.words, self.plain = self.words, {}, {}
-        return out
+    def forget(self) -> None:
+        self.pieces: dict[str, int] = {"": 0}  # piece: its number
+        self.ids = np.zeros(1 << 16, self.kind)  # the pieces' ids, one after another
+        self.stops = np.zeros(1 << 14, np.int64)  # piece n has the ids from stops[n - 1] to stops[n]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        marked, rest = {}, []
-        need: set[str] = set()
-        for w in words:
-            if w.isascii():
-                stem = w.rstrip(_MARKS)
-                if stem.isalpha():
-                    low = stem.lower()
-                    marked[w] = (low, w[len(stem) :])
-                    need.add(low)
-                    continue
-            elif m := _MARKED.fullmatch(w):
-                low = m[1].lower()
-                marked[w] = (low, m[2])
-                need.add(low)
-                continue
-            rest.append(w)
-        self.learn_plain(sorted(need - self.plain.keys()))
-        tails = sorted({t for _, t in marked.values() if t and t not in self.plain})
-        self.plain.update(zip(tails, self.whole(tails), strict=True))
-        self.words.update({w: self.plain[a] + self.plain[b] if b else self.plain[a] for w, (a, b) in marked.items()})
-        self.words.update(zip(rest, self.whole(rest), strict=True))
-
-    def learn_plain(self, words: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_array(self, texts: pa.Array, tail: bytes = b"") -> pa.Array:
+        """The ids of each text (null: none), each with ``tail`` after them, as a binary array."""
+        parts = [x for _, _, x in self.encode_parts(texts, tail)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def encode_parts(self, texts: pa.Array, tail: bytes = b"") -> Iterator[tuple[int, int, pa.Array]]:
+        """(first text, number of texts, ids) of parts of the texts, of some megabytes each."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT_BYTES, side="right")))
+            yield at, end - at, self._batch(texts.slice(at, end - at), tail)
+            at = end
+
+    def _batch(self, texts: pa.Array, tail: bytes) -> pa.Array:
+        # Arrow takes the characters 28 to 31 for white space, the tokenizer does not.
+        if not self.by_word or pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            return pa.array([x.tobytes() + tail for x in self.whole(texts.to_pylist())], pa.binary())
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        first, second = self._numbers(coded.dictionary)
+        index, ends = coded.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        lengths = np.diff(self.stops[: len(self.pieces)], prepend=0)
+        of_word = lengths[first] + lengths[second]
+        before = np.concatenate([[0], np.cumsum(of_word[index])])
+        out = [self._gather(first, second, index[i : i + _WORDS], lengths) for i in range(0, len(index), _WORDS)]
+        data = np.concatenate(out) if out else np.zeros(0, self.kind)
+        stops = before[ends] * self.width
+        if not tail:
+            return _binary(np.concatenate([[0], stops]), data.tobytes())
+        raw, cuts = data.tobytes(), [0, *stops.tolist()]
+        return _binary(np.concatenate([[0], stops + len(tail) * np.arange(1, len(stops) + 1)]), b"".join(x for a, b in zip(cuts, cuts[1:], strict=False) for x in (raw[a:b], tail)))
+
+    def _gather(self, first: np.ndarray, second: np.ndarray, index: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The ids of words one after another, by the numbers of their two pieces."""
+        piece = np.empty(2 * len(index), np.int64)
+        piece[::2], piece[1::2] = first[index], second[index]
+        piece = piece[lengths[piece] > 0]
+        size = lengths[piece]
+        start = self.stops[piece] - size
+        return self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the two pieces of each of the words, which are distinct."""
+        if len(self.pieces) > _KNOWN_PIECES:
+            self.forget()
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        marked = pc.match_substring_regex(words, _MARKED)
+        plain = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        other = np.flatnonzero(~marked.to_numpy(zero_copy_only=False))
+        own = words.take(pa.array(plain))
+        stems = pc.utf8_lower(pc.utf8_rtrim(own, _MARKS))
+        coded = stems.dictionary_encode()
+        first[plain] = self._learnt(coded.dictionary.to_pylist(), self._words)[coded.indices.to_numpy()]
+        tailed = np.flatnonzero(pc.not_equal(pc.utf8_length(own), pc.utf8_length(stems)).to_numpy(zero_copy_only=False))
+        tails = pc.replace_substring_regex(own.take(pa.array(tailed)), f"^[{_LETTERS}]+", "").dictionary_encode()
+        second[plain[tailed]] = self._learnt(tails.dictionary.to_pylist(), self.whole)[tails.indices.to_numpy()]
+        first[other] = self._learnt(words.take(pa.array(other)).to_pylist(), self.whole)
+        return first, second
+
+    def _learnt(self, pieces: list[str], encode) -> np.ndarray:
+        new = [p for p in pieces if p not in self.pieces]
+        if new:
+            at, got = len(self.pieces), encode(new)
+            stops = self.stops[at - 1] + np.cumsum([len(x) for x in got])
+            if at + len(new) > len(self.stops):
+                self.stops = np.resize(self.stops, 2 * (at + len(new)))
+            if stops[-1] > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * int(stops[-1]))
+            self.ids[self.stops[at - 1] : stops[-1]] = np.concatenate(got)
+            self.stops[at : at + len(new)] = stops
+            self.pieces.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+
+    def _words(self, words: list[str]) -> list[np.ndarray]:
         """Words of letters only, many to a call; a token that ends a word ends a word's ids."""
+        out: list[np.ndarray] = []
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(part):
-                packed = self.pack(ids)
-                cuts = [0, *(ends * self.width).tolist()]
-                self.plain.update({w: packed[a:b] for w, a, b in zip(part, cuts, cuts[1:], strict=False)})
+                packed = ids.astype(self.kind)
+                out += [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             else:
-                self.plain.update(zip(part, self.whole(part), strict=True))
+                out += self.whole(part)
+        return out
+
+
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def _drops_space(rules: dict) -> bool:
@@ -272,12 +336,12 @@ def _nothing() -> None:
     """Writing and reading files remember no words."""
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, rules: Rules) -> Encoder:
     """This process's encoder for a tokenizer file's text; it lives as long as the worker."""
     sole_memory("tokens", _encoders.clear)
     key = xxhash.xxh64_hexdigest(spec)
     if key not in _encoders:
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, rules)
     return _encoders[key]
 
 
@@ -288,29 +352,33 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
     """Encode every whole text, add ``end_id``, and write shards in ascending id order to ``path``.
 
     Shards are ranges of ids of about ``shard_bytes`` text bytes, cut by the histogram sort of operator 4. Null and
-    empty texts have the end id alone. Rows without an id come first. Rows that repeat an id stay together and are all
-    written. Other columns play no part. An empty table gives no shard.
+    empty texts have the end id alone. Rows without an id come first. Rows that repeat an id follow one another, by the
+    hash of their texts, and are all written; many of them, or many without an id, are split over shards like others.
+    Other columns play no part. An empty table gives no shard.
     """
     spark = docs.sparkSession
     importable(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-    width = Encoder(spec.value).width
-    source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+        spec = f.read()
+    rules = Rules.of(spec)
+    width, sent = rules.width, spark.sparkContext.broadcast((spec, rules))
+    text = col(text_col).cast("string")
+    source = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("d"), text.alias("text"))
     lowest = F.lit(-(1 << 63)).cast("long")
-    sizes = Table(source.select(F.coalesce("id", lowest).alias("h"), F.lit(0).cast("long").alias("d"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size")), "sizes").df
+    sizes = Table(source.select(F.coalesce("id", lowest).alias("h"), "d", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size")), "sizes").df
     total = sizes.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // shard_bytes))
     cut = find_splitters(sizes, parts, tolerance=0.05, probes=max(1024, 8 * parts))
     tail = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(spec.value)
+        e = encoder(*sent.value)
+        high, low = bounds.value
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                ids = e.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], pa.binary())], ["id", "ids"])
+            for at, n, ids in e.encode_parts(b.column(2), tail):
+                own, d = b.column(0).slice(at, n), b.column(1).slice(at, n)
+                part = number_of_range(high, low, pc.fill_null(own, -(1 << 63)).to_numpy(), d.to_numpy())
+                yield pa.RecordBatch.from_arrays([own, d, ids, pa.array(part.astype(np.int32))], ["id", "d", "ids", "part"])
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_memory("token files", _nothing)
@@ -322,10 +390,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id
         for x in w.close():
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["section"])
 
-    encoded = source.mapInArrow(encode, "id long, ids binary")
-    part = _range_of(F.coalesce("id", lowest), F.lit(0).cast("long"), cut.keys)
-    ordered = encoded.repartitionById(parts, part).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(sections, "section binary").select(F.col("section").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
+    bounds = spark.sparkContext.broadcast(halves(cut.keys))
+    encoded = source.mapInArrow(encode, "id long, d long, ids binary, part int")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_first(), "d", "ids")
+    with _small_batches(spark):
+        ordered.select("id", "ids").mapInArrow(sections, "section binary").select(F.col("section").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to the workers by the thousand, as a worker keeps its words beside them."""
+    before = spark.conf.get(_ROWS_SENT, None)
+    spark.conf.set(_ROWS_SENT, "2000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ROWS_SENT) if before is None else spark.conf.set(_ROWS_SENT, before)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -352,12 +432,38 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     content = files.select("path", "content")
     totals = Table(content.mapInArrow(footer, "shard string, first_id long, n_ids long"), "footers").df
-    before = W.orderBy(F.col("first_id").asc_nulls_first(), "shard").rowsBetween(W.unboundedPreceding, -1)
+    # Shards were written by ascending ranges: the number in a file's name is the range's.
+    before = W.orderBy(_number("shard")).rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     rows = content.mapInArrow(records, "shard string, id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, "shard").select("id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
+def _number(shard: str) -> Column:
+    return F.regexp_extract(shard, r"part-([0-9]+)[^/]*$", 1).cast("long")
+
+
+def lookup(spark: SparkSession, path: str, ids: Sequence[int | None]) -> DataFrame:
+    """(id, ids, shard) of every record under one of the wanted ids, a million at most: each shard's filter says which it
+    may hold, its index is bisected, and only blocks that may hold one are decoded. Ids that no shard holds give no row,
+    repeated records a row each."""
+    if len(ids) > 1_000_000:
+        raise ValueError("more than a million ids: read the shards and join")
+    importable(spark)
+    sent = spark.sparkContext.broadcast(sorted(set(ids), key=key_of))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("token files", _nothing)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = Shard(memoryview(data.as_buffer()))
+                rows = [(i, got) for i in sent.value for got in s.get(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([g.tolist() for _, g in rows], pa.list_(pa.int64())), pa.array([name] * len(rows), pa.string())], ["id", "ids", "shard"])
+
+    return files.select("path", "content").mapInArrow(find, "id long, ids array<long>, shard string")
+
+
 def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, path: str | None = None) -> DataFrame:
     """Write the shards (to the shared folder unless ``path`` says where) and return what ``read`` finds in them."""
     path = path or new_path(docs.sparkSession, "tokens")
@@ -365,4 +471,4 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return read(docs.sparkSession, path)
 
 
-__all__ = ["Shard", "ShardWriter", "encode_corpus", "read", "write"]
+__all__ = ["Shard", "ShardWriter", "encode_corpus", "lookup", "read", "write"]

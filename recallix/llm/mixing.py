@@ -8,7 +8,7 @@ bounded buckets first and sums inside a bucket last, so no task holds a whole so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,10 +36,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     return leveled.withColumn("final", final).select("source", F.col("size").alias("source_size"), "weight", F.when(F.col("final") == float("inf"), F.col("lim")).otherwise(F.least(F.col("lim"), F.col("final") * F.col("weight"))).alias("target"))
 
 
-def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
-    """``out``: the running sum of ``value`` by ``keys`` in the order (bucket, *order), the row included."""
+def _prefix(df: DataFrame, keys: list[str], bucket: str, value: str) -> DataFrame:
+    """(keys, bucket) as _k_.. and _b, with _base, the sum of ``value`` in the buckets before. The window runs over
+    buckets, not rows."""
     sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_s"))
-    prefix = sums.withColumn("_base", F.sum("_s").over(W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(bucket).alias("_b"), F.coalesce("_base", F.lit(0)).alias("_base"))
+    before = F.sum("_s").over(W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    return sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(bucket).alias("_b"), F.coalesce(before, F.lit(0)).alias("_base"))
+
+
+def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, out: str, prefix: DataFrame | None = None) -> DataFrame:
+    """``out``: the running sum of ``value`` by ``keys`` in the order (bucket, *order), the row included."""
+    prefix = _prefix(df, keys, bucket, value) if prefix is None else prefix
     same = F.col(bucket) == F.col("_b")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -48,48 +55,102 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], valu
     return summed.join(prefix, same).withColumn(out, F.col("_in") + F.col("_base")).drop("_in", "_b", "_base", *(f"_k_{k}" for k in keys))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
-    """The mix as (id, source, size, source_size, target, copies, position): one row for each row of ``docs``.
+def _text_hash(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
-    ``copies`` is how often the mix takes the document (0 to max_repeats), ``position`` the place in tokens where its
-    first copy ends in the mix (null if none is taken). The queue's order is the MD5 of seed, id and the number among rows that repeat the id, so reruns agree.
-    Null texts count 0 words and null sources form a source. A source without words has target 0; its documents are
-    spread evenly over the mix. Equal finish times are ordered by source, repeat, queue and id. Rows that repeat an id are
-    documents of their own. An empty table gives no rows.
-    """
-    narrow = docs.select(col(id_col).cast("long").alias("id"), col(source_col).cast("string").alias("source"), word_count(col(text_col).cast("string")).alias("size"))
-    rows = Table(narrow.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("size_all", F.col("size") * F.col("n")), "sizes").df
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_repeats: int, seed: int, bucket_rows: int) -> DataFrame:
+    """``plan`` with the hash of the text, and n and r, the number of rows equal in id, source and text, and which of
+    them it is."""
+    text = col(text_col).cast("string")
+    narrow = docs.select(col(id_col).cast("long").alias("id"), col(source_col).cast("string").alias("source"), word_count(text).alias("size"), _text_hash(text).alias("th"))
+    rows = Table(narrow.groupBy("id", "source", "size", "th").agg(F.count(F.lit(1)).alias("n")).withColumn("size_all", F.col("size") * F.col("n")), "sizes").df
     aimed = Table(targets(rows.groupBy("source").agg(F.sum("size_all").alias("size")), weights, max_repeats), "targets").df
     totals = rows.agg(F.sum("size_all"), F.sum("n")).first()
     budget, count = totals[0] or 0, totals[1] or 0
     buckets = max(1, -(-count // bucket_rows))
-    bucket = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(1 << 60)) / F.lit(float(1 << 60))
-    each = rows.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    each = each.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("r").cast("string"))))
-    each = each.withColumn("u", bucket).withColumn("b", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("long"))
-    queued = _running(each, ["source"], "b", ["h", "id", "size", "r"], "size", "upto")
+    # Rows that share an id with other texts, or have none, are dealt by their texts too.
+    again = rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("id").alias("_id"))
+    named = rows.join(again, F.col("id") == F.col("_id"), "left")
+    own = F.when(F.col("id").isNull() | F.col("_id").isNotNull(), F.concat(F.lit(":"), F.col("th").cast("string"))).otherwise(F.lit(""))
+    each = named.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    each = each.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("r").cast("string"), own))).drop("_id", "size_all")
+    u = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(1 << 60)) / F.lit(float(1 << 60))
+    each = each.withColumn("u", u).withColumn("b", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("long"))
+    queued = _running(each, ["source"], "b", ["h", "id", "size", "th", "r"], "size", "upto")
     aims = aimed.select(F.col("source").alias("_src"), "source_size", "target")
-    joined = queued.join(F.broadcast(aims) if aims.count() <= 100_000 else aims, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    copies = joined.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("turn") * F.col("source_size")).cast("double") / F.col("target")).otherwise(F.col("u"))
-    timed = copies.withColumn("finish", finish)
-    # Time runs evenly in tokens: the sources together take one budget in one unit, so equal spans of time are equal work.
-    spans = max(1, buckets)
-    timed = timed.withColumn("span", F.floor(F.col("finish") * spans).cast("long")).drop("b")
-    mixed = _running(timed, [], "span", ["finish", "source", "turn", "h", "id", "size", "r"], "size", "place")
+    joined = queued.join(F.broadcast(aims) if aims.count() <= 100_000 else aims, F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "b")
+    queue = Table(joined, "queue").df
+
+    # Documents without words take no place; they stand in their queue evenly, not all where a document with words ends.
+    pace = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(F.lit(1.0))
+    at_words = (F.col("upto") + F.col("turn") * F.col("source_size")).cast("double") / F.col("target")
+    copies = queue.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
+    timed = copies.withColumn("finish", F.when((F.col("target") > 0) & (F.col("size") > 0), at_words).otherwise((F.col("u") + F.col("turn")) * pace)).drop("u", "upto")
+    # Slices of time take equal words, not equal rows: one with many rows is cut into as many spans as its rows ask for.
+    place = F.col("finish") * buckets
+    timed = timed.withColumn("slice", F.floor(place).cast("long"))
+    slices = Table(timed.groupBy("slice").agg(F.count(F.lit(1)).alias("rows")).select(F.col("slice").alias("_sl"), F.ceil(F.col("rows") / bucket_rows).cast("long").alias("_cuts")), "slices").df
+    small = slices.count() <= 500_000
+    spans = timed.join(F.broadcast(slices) if small else slices, F.col("slice") == F.col("_sl"))
+    sub = F.least(F.floor((place - F.col("slice")) * F.col("_cuts")).cast("long"), F.col("_cuts") - 1)
+    spans = spans.withColumn("span", F.struct(F.col("slice").alias("a"), sub.alias("b"))).drop("_sl", "_cuts", "slice")
+    prefix = Table(_prefix(spans, [], "span", "size"), "spans").df
+    # Spans that begin beyond the budget hold nothing that is taken, and are not sorted.
+    last = prefix.where(F.col("_base") <= budget).agg(F.max("_b")).first()[0]
+    within = F.col("span") <= (F.struct(F.lit(last[0]).alias("a"), F.lit(last[1]).alias("b")) if last is not None else F.col("span"))
+    mixed = _running(spans.where(within), [], "span", ["finish", "source", "turn", "h", "id", "size", "th", "r"], "size", "place", prefix)
+    rest = spans.where(~within).withColumn("place", F.lit(budget + 1).cast("long"))
     taken = F.col("place") <= budget
-    return mixed.groupBy("id", "source", "size", "r", "source_size", "target").agg(F.sum(taken.cast("long")).alias("copies"), F.min(F.when(taken, F.col("place"))).alias("position")).drop("r")
+    every = mixed.select(*rest.columns).unionByName(rest)
+    return every.groupBy("id", "source", "size", "th", "n", "r", "source_size", "target").agg(F.sum(taken.cast("long")).alias("copies"), F.min(F.when(taken, F.col("place"))).alias("position"))
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
+    """The mix as (id, source, size, source_size, target, copies, position): one row for each row of ``docs``.
+
+    ``copies`` is how often the mix takes the document (0 to max_repeats), ``position`` the place in tokens where its
+    first copy ends in the mix (null if none is taken). The queue's order is the MD5 of seed, id and the number among
+    equal rows, for rows without an id or with an id of several texts of the text's hash too, so reruns agree.
+    Null texts count 0 words and null sources form a source. Documents without words, and those of a source without
+    any (target 0), are spread evenly. Equal finish times are ordered by source, repeat, queue, id and text. Rows that
+    repeat an id are documents of their own. An empty table gives no rows; other columns play no part.
+    """
+    return _decisions(docs, id_col, text_col, source_col, weights, max_repeats, seed, bucket_rows).drop("th", "n", "r")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, with its columns as they were.
-
-    Decisions are by id and source; rows that repeat both are taken as often as the first of them. Rows without an id
-    take part under the id null."""
-    chosen = plan(docs, id_col, text_col, source_col, weights, max_repeats, seed).groupBy("id", "source").agg(F.max("copies").alias("_rx_n")).where("_rx_n > 0").withColumnsRenamed({"id": "_rx_id", "source": "_rx_source"})
-    same = col(id_col).cast("long").eqNullSafe(F.col("_rx_id")) & col(source_col).cast("string").eqNullSafe(F.col("_rx_source"))
-    times = free_name([*docs.columns, "_rx_n"], "_rx_turn")
-    return docs.join(chosen, same).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rx_n")))).select(*(col(c) for c in docs.columns))
+    """The mix itself: each document as often as ``plan`` takes it, with its columns as they were.
+
+    Rows equal in id, source and text are told apart by their number, so the mix holds as many words as the plan, null
+    ids, null sources and repeated rows included. Null and empty texts are documents without words. An empty table
+    gives no rows; other columns, also clashing ones, stay as they are."""
+    every = _decisions(docs, id_col, text_col, source_col, weights, max_repeats, seed, 4096)
+    chosen = Table(every.where("copies > 0 or n > 1").select(*(F.col(c).alias(f"_rx_{c}") for c in ("id", "source", "th", "n", "r", "copies"))), "mix").df
+    names = [col(c) for c in docs.columns]
+    key = [col(id_col).cast("long").eqNullSafe(F.col("_rx_id")), col(source_col).cast("string").eqNullSafe(F.col("_rx_source")), _text_hash(col(text_col).cast("string")) == F.col("_rx_th")]
+    same = key[0] & key[1] & key[2]
+    turn = free_name([*docs.columns, "_rx_copies"], "_rx_turn")
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.where("_rx_copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rx_copies")))).select(*names)
+
+    single = repeated(docs.join(chosen.where("_rx_n = 1"), same))
+    again = chosen.where("_rx_n > 1")
+    if again.isEmpty():
+        return single
+    # Equal rows are numbered within the task that reads them, and on from the counts of the tasks before it.
+    keys = again.where("_rx_r = 1").select("_rx_id", "_rx_source", "_rx_th")
+    part, mark = free_name(docs.columns, "_rx_part"), free_name(docs.columns, "_rx_mark")
+    here = Table(docs.join(keys, same).withColumns({part: F.spark_partition_id(), mark: F.monotonically_increasing_id()}), "repeated").df
+    own = ["_rx_id", "_rx_source", "_rx_th"]
+    counts = here.groupBy(*own, part).agg(F.count(F.lit(1)).alias("_rx_c"))
+    before = F.sum("_rx_c").over(W.partitionBy(*own).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    based = counts.select(*(F.col(c).alias(f"{c}2") for c in own), F.col(part).alias("_rx_p2"), F.coalesce(before, F.lit(0)).alias("_rx_base"))
+    numbered = here.withColumn("_rx_in", F.row_number().over(W.partitionBy(*own, part).orderBy(mark)))
+    at = (F.col(part) == F.col("_rx_p2")) & F.col("_rx_id").eqNullSafe(F.col("_rx_id2")) & F.col("_rx_source").eqNullSafe(F.col("_rx_source2")) & (F.col("_rx_th") == F.col("_rx_th2"))
+    numbered = numbered.join(based, at).withColumn("_rx_row", F.col("_rx_in") + F.col("_rx_base")).select(*docs.columns, "_rx_row")
+    return single.unionByName(repeated(numbered.join(again, same & (F.col("_rx_row") == F.col("_rx_r")))))
 
 
 __all__ = ["mix", "plan", "targets"]

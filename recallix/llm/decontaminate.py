@@ -34,6 +34,21 @@ def _bits(codes: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
+def _blocks(hits: np.ndarray, m: int, last: int) -> Iterator[np.ndarray]:
+    """The starts of all windows of m shingles that hold one of the hits (ascending), once each and in order, in blocks
+    that stretch over _ROWS shingles at most, so that memory doesn't grow with the text."""
+    done, step = -1, max(1, _ROWS // m)
+    for i in range(0, len(hits), step):
+        starts = np.unique(np.clip((hits[i : i + step, None] - np.arange(m)[None, :]).ravel(), 0, last))
+        starts = starts[starts > done]
+        at = 0
+        while at < len(starts):
+            end = int(np.searchsorted(starts, starts[at] + _ROWS))
+            yield starts[at:end]
+            at = end
+        done = max(done, int(starts[-1])) if len(starts) else done
+
+
 class Benchmark:
     """Items by length, with fingerprints, the multi-index, and the shingles that occur in any item."""
 
@@ -89,9 +104,7 @@ class Benchmark:
         """All windows of one length that hold one of the hits; the only window is the text if that is shorter."""
         m = min(length - k + 1, len(codes))  # shingles in a window
         last = len(codes) - m
-        starts = np.unique(np.clip((hits[:, None] - np.arange(m)[None, :]).ravel(), 0, last))
-        for i in range(0, len(starts), _ROWS):
-            part = starts[i : i + _ROWS]
+        for part in _blocks(hits, m, last):
             lo = int(part[0])
             sums = np.zeros((int(part[-1]) + m - lo + 1, 64), np.int32)
             np.cumsum(_bits(codes[lo : int(part[-1]) + m]), axis=0, out=sums[1:])

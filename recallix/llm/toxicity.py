@@ -3,20 +3,24 @@
 A sentence is a run of units: its words in lower case, letters only, with runs of single letters joined, so that
 "i d i o t", "i.d.i.o.t" and "idiot" are one unit. The kernel of two units counts the subsequences of three and of four
 letters (word ends count as letters) that they share, each weighted down by the gaps it spans: a few inserted or
-missing characters leave most of it. The machine is trained on units of labelled sentences in the space of landmarks;
-a text's decision value is the largest of its units', as one insult makes a text toxic, and a logistic curve fitted to
-labelled texts turns it into a score.
+missing characters leave most of it. The machine is trained on labelled sentences, each by the unit that speaks for it,
+in the space of landmarks; a text's decision value is the largest of its units', as one insult makes a text toxic, and a
+logistic curve fitted to labelled texts turns it into a score.
 
 Scoring needs no landmark at run time. A decision value is linear in the counted subsequences, so landmarks and
-machine fold into one weight for each subsequence: two tables of fixed size, sent to the executors once.
+machine fold into one weight for each subsequence: two tables of fixed size, sent to the executors once. Latin letters
+lose their accents; subsequences with letters of other scripts share the tables by hash.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +34,7 @@ ALPHABET = 32
 SPANS = {3: 6, 4: 7}  # letters of a subsequence: most characters it may span
 DECAY = 0.5
 MAX_UNIT, STEP = 24, 12
+_PRIME = 1_000_003
 _CACHE_UNITS = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]+){2,}[^\W\d_](?![^\W\d_])")
@@ -63,40 +68,76 @@ def _picks(length: int, letters: int) -> tuple[np.ndarray, np.ndarray]:
     return index, (weight / np.sqrt((weight**2).sum()) / np.sqrt(len(SPANS))).astype(np.float32)
 
 
+def _folded() -> np.ndarray:
+    """Numbers 1 to 26 of the letters that Latin letters with accents are made of; 0 for other characters."""
+    out = np.zeros(0x250, np.int64)
+    joined = {"ß": "s", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d", "ı": "i"}
+    for c in range(len(out)):
+        base = unicodedata.normalize("NFD", joined.get(chr(c).lower(), chr(c).lower()))[0]
+        out[c] = ord(base) - 96 if "a" <= base <= "z" else 0
+    return out
+
+
+_FOLD = _folded()
+
+
 def _codes(pieces: list[str]) -> np.ndarray:
-    """Letters of equally long pieces as numbers below ALPHABET, with 0 at both ends."""
-    raw = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pieces), -1)
-    out = np.zeros((raw.shape[0], raw.shape[1] + 2), np.int32)
-    out[:, 1:-1] = np.where((raw >= 97) & (raw <= 122), raw - 96, 27 + raw % 5)
+    """Letters of equally long pieces as numbers, with 0 at both ends: 1 to 26 for Latin letters without their accents,
+    a number of ALPHABET or more for any other letter."""
+    raw = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(pieces), -1).astype(np.int64)
+    out = np.zeros((raw.shape[0], raw.shape[1] + 2), np.int64)
+    latin = np.where(raw < len(_FOLD), _FOLD[np.minimum(raw, len(_FOLD) - 1)], 0)
+    out[:, 1:-1] = np.where(latin > 0, latin, ALPHABET + raw)
     return out
 
 
 def _features(pieces: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For pieces of one length: (letters, subsequence numbers of each piece, weights)."""
+    """For pieces of one length: (letters, subsequence numbers of each piece, weights). Subsequences of Latin letters
+    have numbers of their own; one with a letter of another script has a number by the hash of its letters."""
     codes = _codes(pieces)
+    plain = codes.max(initial=0) < ALPHABET
+    small = codes.astype(np.int32) if plain else codes
     for letters in SPANS:
         index, weight = _picks(codes.shape[1], letters)
-        number = np.zeros((len(pieces), len(index)), np.int32)
+        number = np.zeros((len(pieces), len(index)), small.dtype)
         for j in range(letters):
-            number *= ALPHABET
-            number += codes[:, index[:, j]]
+            number *= ALPHABET if plain else _PRIME
+            number += small[:, index[:, j]]
+        if not plain:
+            direct = np.zeros_like(number)
+            for j in range(letters):
+                direct = direct * ALPHABET + np.minimum(codes[:, index[:, j]], ALPHABET - 1)
+            foreign = (codes[:, index] >= ALPHABET).any(axis=2)
+            number = np.where(foreign, (number * _PRIME >> 24) % ALPHABET**letters, direct)
         yield letters, number, weight
 
 
+def _by_kind(pieces: list[str]) -> Iterator[list[int]]:
+    """Places of pieces of equal length, those of Latin letters apart from the others, some thousands at a time."""
+    kinds: dict[tuple[int, bool], list[int]] = {}
+    for i, p in enumerate(pieces):
+        kinds.setdefault((len(p), p.isascii()), []).append(i)
+    for places in kinds.values():
+        for i in range(0, len(places), 4096):
+            yield places[i : i + 4096]
+
+
+def decide_pieces(pieces: list[str], tables: dict[int, np.ndarray], bias: float) -> np.ndarray:
+    """Decision values of units of at most MAX_UNIT letters."""
+    out = np.full(len(pieces), bias)
+    for places in _by_kind(pieces):
+        value = np.full(len(places), bias)
+        for letters, number, weight in _features([pieces[i] for i in places]):
+            value += tables[letters][number] @ weight
+        out[places] = value
+    return out
+
+
 def decide(strings: list[str], tables: dict[int, np.ndarray], bias: float) -> np.ndarray:
-    """Decision values of units."""
+    """Decision values of units: a long unit has the largest of its windows'."""
     parts = [(i, p) for i, u in enumerate(strings) for p in _pieces(u)]
     out = np.full(len(strings), -np.inf)
-    by_length: dict[int, list[tuple[int, str]]] = {}
-    for x in parts:
-        by_length.setdefault(len(x[1]), []).append(x)
-    for group in by_length.values():
-        for i in range(0, len(group), 4096):
-            part = group[i : i + 4096]
-            value = np.full(len(part), bias)
-            for letters, number, weight in _features([p for _, p in part]):
-                value += tables[letters][number] @ weight
-            np.maximum.at(out, [k for k, _ in part], value)
+    np.maximum.at(out, [i for i, _ in parts], decide_pieces([p for _, p in parts], tables, bias))
     return out
 
 
@@ -130,10 +171,7 @@ class _Landmarks:
 
     def counts(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), self.used + 1), np.float32)  # the last column takes what no landmark has
-        by_length: dict[int, list[int]] = {}
-        for i, x in enumerate(strings):
-            by_length.setdefault(len(x), []).append(i)
-        for rows in by_length.values():
+        for rows in _by_kind(strings):
             for letters, number, weight in _features([strings[i] for i in rows]):
                 np.add.at(out, (np.array(rows)[:, None], self.place[letters][number]), weight[None, :])
         return out[:, :-1]
@@ -168,44 +206,37 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0, ste
     return w[:-1], w[-1]
 
 
-def fit(positive: list[str], weights: list[float], negative: list[str], hard: list[str], landmarks: int = 320, rounds: int = 4) -> Model:
-    """Train on toxic units, ordinary units, and a pool from which the worst mistaken ordinary units are added."""
-    positive, weights = positive[:600], weights[:600]
-    marks = list(dict.fromkeys([p[:MAX_UNIT] for p in positive[: landmarks // 2]] + [n[:MAX_UNIT] for n in negative[: landmarks - min(len(positive), landmarks // 2)]]))
-    space = _Landmarks(marks)
-    kmm = space.kernel(marks)
-    value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
-    good = value > 1e-4
-    root = vector[:, good] / np.sqrt(value[good])
-
-    def phi(strings: list[str]) -> np.ndarray:
-        return space.kernel([s[:MAX_UNIT] for s in strings]) @ root
-
-    xp, wp = phi(positive), np.array(weights) / np.mean(weights)
-    wp = np.clip(wp, 0.2, 3)
-    own = set(positive)
-    known = [n for n in dict.fromkeys(negative) if n not in own]
-    xn = phi(known)
-    model = Model({}, 0.0)
-    for _ in range(rounds):
-        x, y = np.vstack([xp, xn]), np.concatenate([np.ones(len(xp)), -np.ones(len(xn))])
-        w = np.concatenate([wp * max(1.0, len(xn) / max(1, len(xp)) / 4), np.ones(len(xn))])
-        coef, bias = _svm(x, y, w)
-        beta = root @ coef
+class _Machine:
+    """The machine in the space of landmarks, and the folding of its weights into tables of subsequences."""
+
+    def __init__(self, marks: list[str]):
+        self.marks, self.space = marks, _Landmarks(marks)
+        kmm = self.space.kernel(marks)
+        value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
+        good = value > 1e-4
+        self.root = vector[:, good] / np.sqrt(value[good])
+        self.known: dict[str, np.ndarray] = {}
+
+    def phi(self, strings: list[str]) -> np.ndarray:
+        new = [x for x in strings if x not in self.known]
+        self.known.update(zip(new, (self.space.kernel(new) @ self.root).astype(np.float32), strict=True))
+        return np.array([self.known[x] for x in strings], np.float64)
+
+    def fit(self, toxic: Mapping[str, float], clean: Mapping[str, float]) -> Model:
+        """Examples are sentences by the unit that speaks for them, with weights; toxic ones count a quarter of the
+        clean ones in all at least."""
+        names = [*toxic, *clean]
+        y = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
+        w = np.array([*toxic.values(), *clean.values()], float)
+        w[: len(toxic)] = np.clip(w[: len(toxic)] / w[: len(toxic)].mean(), 0.2, 3) * max(1.0, len(clean) / len(toxic) / 4)
+        w[len(toxic) :] = 1
+        coef, bias = _svm(self.phi(names), y, w)
+        beta = self.root @ coef
         tables = {k: np.zeros(ALPHABET**k, np.float64) for k in SPANS}
-        for m, b in zip(marks, beta, strict=True):
+        for m, b in zip(self.marks, beta, strict=True):
             for k, number, weight in _features([m]):
                 np.add.at(tables[k], number[0], b * weight)
-        model = Model({k: t.astype(np.float32) for k, t in tables.items()}, float(bias), landmarks=tuple(marks))
-        if not hard:
-            break
-        got = decide(hard, model.tables, model.bias)
-        seen = set(known) | own
-        worst = [hard[i] for i in np.argsort(-got)[:1500] if got[i] > -0.8 and hard[i] not in seen]
-        if not worst:
-            break
-        known, xn = known + worst, np.vstack([xn, phi(worst)])
-    return model
+        return Model({k: t.astype(np.float32) for k, t in tables.items()}, float(bias), landmarks=tuple(self.marks))
 
 
 def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -233,14 +264,22 @@ def learns_from(doc_id: Column) -> Column:
     return ~held_out(doc_id)
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, max_units: int = 200_000) -> Model:
+def _nothing_learnt() -> Model:
+    return Model({k: np.zeros(ALPHABET**k, np.float32) for k in SPANS}, Model.EMPTY, 1.0, -30.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, landmarks: int = 320, rounds: int = 4, speakers: int = 2) -> Model:
     """Fit a model to a sample of labelled texts, of fixed size: at most ``max_toxic`` and ``max_clean`` rows, those
-    with the smallest hashes of their ids. Of the units seen in them about ``max_units`` at most, by their hashes, and
-    the 2,000 most frequent toxic ones come to the driver.
+    with the smallest hashes of their ids.
 
     ``where`` says from which ids to learn. Labels for unknown documents, null labels and null ids teach nothing; an
-    id with several labels counts as toxic if one says so. Toxic units are those with far more distinct contexts (the
-    units around) in toxic texts than in clean ones; contexts rather than texts, so that copies of a text count once.
+    id with several labels counts as toxic if one says so. The machine is trained on the sample's texts, each by units
+    that speak for it, ``speakers`` at most at a time. For a toxic text those are its units with the most contexts
+    (units around) in toxic texts, of the units that have eight times the share of contexts there that they have in
+    clean ones; contexts rather than texts, so that copies of a text count once. For a clean text all units are clean:
+    some by their hash at first, and in each round those that the machine takes for the most toxic. So only some units
+    of each text and round come to the driver, whose memory is bounded by the sample's rows, however long the texts
+    are. Landmarks come from both sides' units.
     Without labels of both kinds the model scores everything 0.
     """
     importable(docs.sparkSession)
@@ -249,36 +288,67 @@ def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column]
         marked = marked.where(where(F.col("id")))
     ranked = marked.withColumn("h", F.xxhash64("id"))
     sample = ranked.where("toxic = 1").orderBy("h", "id").limit(max_toxic).unionByName(ranked.where("toxic = 0").orderBy("h", "id").limit(max_clean)).select("id", "toxic")
-    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    texts = Table(docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id"), "labelled")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seq = units(text or "")
-                around = {(u, hash_pair(p, n)) for p, u, n in zip(["", *seq[:-1]], seq, [*seq[1:], ""], strict=True)}
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in around], pa.string()), pa.array([h for _, h in around], pa.int64()), pa.array([toxic] * len(around), pa.int32())], ["unit", "ctx", "toxic"])
-
-    seen = texts.select("text", "toxic").mapInArrow(contexts, "unit string, ctx long, toxic int")
-    counts = Table(seen.groupBy("unit", "ctx", "toxic").agg(F.lit(1).alias("one")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "units").df
-    share = min(1.0, max_units / max(1, counts.count()))
-    rows = counts.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(share * (1 << 20))).unionByName(counts.where("t >= 3 and t > 10 * c").orderBy(F.col("t").desc(), "unit").limit(2000)).distinct().toPandas()
+            for i, text, toxic in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                seq = [p for u in units(text or "") for p in _pieces(u)]
+                around = list({(u, hash_pair(p, n)) for p, u, n in zip(["", *seq[:-1]], seq, [*seq[1:], ""], strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(around), pa.int64()), pa.array([u for u, _ in around], pa.string()), pa.array([h for _, h in around], pa.int64()), pa.array([toxic] * len(around), pa.int32())], ["id", "unit", "ctx", "toxic"])
+
+    seen = Table(texts.df.select("id", "text", "toxic").mapInArrow(contexts, "id long, unit string, ctx long, toxic int"), "contexts")
+    counts = Table(seen.df.groupBy("unit", "ctx", "toxic").agg(F.lit(1).alias("one")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "units")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = rows[["t", "c"]].sum()
+    total = counts.df.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not sizes.get(1) or not sizes.get(0) or not total["t"] or not total["c"]:
-        return Model({k: np.zeros(ALPHABET**k, np.float32) for k in SPANS}, Model.EMPTY, 1.0, -30.0)
-    rate = (rows["t"] / total["t"]) / ((rows["c"] + 0.5) / total["c"])
+        return _nothing_learnt()
     few = max(2, min(4, sizes[1] // 100))
-    toxic = rows[(rows["t"] >= few) & (rate >= 8)].assign(r=rate).sort_values(["t", "unit"], ascending=[False, True])
-    clean = rows[rows["c"] > 0].sort_values(["c", "unit"], ascending=[False, True])["unit"].tolist()
-    if toxic.empty:
-        return Model({k: np.zeros(ALPHABET**k, np.float32) for k in SPANS}, Model.EMPTY, 1.0, -30.0)
-    spread = clean[:: max(1, len(clean) // 2500)]
-    model = fit(toxic["unit"].tolist(), np.sqrt(toxic["t"]).tolist(), list(dict.fromkeys([x for pair in zip(clean[:1500], spread, strict=False) for x in pair] + spread)), clean)
-    values = decisions(texts.select("id", "text", "toxic"), model).select("f", "toxic").toPandas()
-    model.slope, model.offset = _logistic(values["f"].to_numpy(float), values["toxic"].to_numpy(float))
+    rate = (F.col("t") / total["t"]) / ((F.col("c") + 0.5) / total["c"])
+    rated = counts.df.select("unit", F.when((F.col("t") >= few) & (rate >= 8), F.col("t")).otherwise(F.lit(0)).alias("told"))
+    spoken = seen.df.select("id", "toxic", "unit").distinct().join(rated, "unit").groupBy("id", "toxic").agg(F.sort_array(F.collect_list(F.when(F.col("told") > 0, F.struct("told", "unit"))), asc=False).alias("told"), *(F.min(F.struct(F.xxhash64("id", "unit", F.lit(i)), "unit")).alias(f"any{i}") for i in range(speakers)))
+    first = spoken.select("toxic", F.slice("told.unit", 1, speakers).alias("told"), F.array(*(F.col(f"any{i}.unit") for i in range(speakers))).alias("others")).toPandas()
+    toxic = Counter(u for x in first["told"][first["toxic"] == 1] for u in x)
+    if not toxic:
+        return _nothing_learnt()
+    # A clean text's unit is an example whatever speaks for toxic texts, unless it is one of their units itself.
+    calm = first[first["toxic"] == 0]
+    clean = {u: 1.0 for u in sorted({u for c in ("told", "others") for x in calm[c] for u in x}) if u not in toxic}
+    ordered = [u for u, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0]))][: landmarks // 2]
+    others = sorted(clean, key=lambda u: hash_pair(u, ""))[: landmarks - len(ordered)]
+    machine = _Machine([*ordered, *others])
+    for turn in range(rounds + 1):
+        model = machine.fit({u: n**0.5 for u, n in sorted(toxic.items())}, clean)
+        values = _spoken(texts.df, model, speakers).toPandas()
+        if turn == rounds:
+            break
+        calm = values[values["toxic"] == 0]
+        clean |= {u: 1.0 for u in sorted({u for x, f in zip(calm["units"], calm["values"], strict=True) for u, v in zip(x, f, strict=True) if v > -0.8}) if u not in toxic}
+    for x in (texts, seen, counts):
+        x.drop()
+    model.slope, model.offset = _logistic(np.array([f[0] if len(f) else Model.EMPTY for f in values["values"]], float), values["toxic"].to_numpy(float))
     return model
 
 
+def _spoken(texts: DataFrame, model: Model, most: int) -> DataFrame:
+    """(toxic, units, values) of each text (id, text, toxic): the ``most`` units with the largest decision values, the
+    largest first, and those values."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                lists = [list(dict.fromkeys(p for u in units(t or "") for p in _pieces(u))) for t in part.column(1).to_pylist()]
+                new = list(set().union(*lists))
+                value = dict(zip(new, decide_pieces(new, model.tables, model.bias).tolist(), strict=True))
+                best = [nlargest(most, ((value[p], p) for p in x)) for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([[u for _, u in x] for x in best], pa.list_(pa.string())), pa.array([[f for f, _ in x] for x in best], pa.list_(pa.float64()))], ["toxic", "units", "values"])
+
+    return texts.select("id", "text", "toxic").mapInArrow(run, "toxic int, units array<string>, values array<double>")
+
+
 def hash_pair(a: str, b: str) -> int:
     import xxhash
 

@@ -7,13 +7,10 @@ then are the rows exchanged, once, to the partition that their key falls in. A h
 splits its rows.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,6 +181,8 @@ def range_of(spark: SparkSession, keys: list[int], bases: list[int] | None = Non
     ``bases`` as ``base``. The boundaries go to the executors as one sorted array, 16 bytes each, and are bisected."""
     sent = spark.sparkContext.broadcast((*halves(keys), np.array(bases or [0] * (len(keys) + 1), np.int64)))
 
+    import pandas as pd  # only where it is used: workers that have no need of it stay smaller
+
     @F.pandas_udf("part int, base long")
     def locate(h: pd.Series, d: pd.Series) -> pd.DataFrame:
         high, low, base = sent.value

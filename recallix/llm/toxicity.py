@@ -167,7 +167,9 @@ class _Landmarks:
             table[found] = np.arange(used, used + len(found), dtype=np.int32)
             self.place[letters], used = table, used + len(found)
         self.used = used
-        self.matrix = np.ascontiguousarray(self.counts(marks).T)
+        self.matrix = np.empty((used, len(marks)), np.float32)
+        for i in range(0, len(marks), 64):
+            self.matrix[:, i : i + 64] = self.counts(marks[i : i + 64]).T
 
     def counts(self, strings: list[str]) -> np.ndarray:
         out = np.zeros((len(strings), self.used + 1), np.float32)  # the last column takes what no landmark has
@@ -177,32 +179,41 @@ class _Landmarks:
         return out[:, :-1]
 
     def kernel(self, strings: list[str]) -> np.ndarray:
-        parts = [self.counts(strings[i : i + 256]) @ self.matrix for i in range(0, len(strings), 256)]
+        parts = [self.counts(strings[i : i + 64]) @ self.matrix for i in range(0, len(strings), 64)]
         return np.vstack(parts).astype(np.float64) if parts else np.zeros((0, len(self.marks)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Primal squared-hinge SVM by Newton steps; the bias is a constant feature that is hardly penalised."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    reg = np.ones(z.shape[1])
+    """Primal squared-hinge SVM by Newton steps; the bias is a constant feature that is hardly penalised. Examples are
+    32-bit numbers, of which some thousands at a time are used in 64 bits."""
+    blocks = [slice(i, i + 4096) for i in range(0, len(x), 4096)]
+    reg = np.ones(x.shape[1] + 1)
     reg[-1] = 1e-3
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
 
-    def cost(w):
-        m = np.maximum(0, 1 - y * (z @ w))
-        return 0.5 * (reg * w * w).sum() + c * (weight * m * m).sum()
+    def margins(w):
+        return y * (np.concatenate([x[b].astype(np.float64) @ w[:-1] for b in blocks]) + w[-1])
 
+    def cost(w, m):
+        return 0.5 * (reg * w * w).sum() + c * (weight * np.maximum(0, 1 - m) ** 2).sum()
+
+    m = margins(w)
     for _ in range(steps):
-        active = (y * (z @ w)) < 1
-        za, wa = z[active], weight[active]
-        grad = reg * w - 2 * c * za.T @ (wa * (y[active] - za @ w))
+        grad, hess = reg * w, np.diag(reg)
+        for b in blocks:
+            use = m[b] < 1
+            z = np.hstack([x[b][use].astype(np.float64), np.ones((int(use.sum()), 1))])
+            wb = weight[b][use]
+            grad -= 2 * c * z.T @ (wb * y[b][use] * (1 - m[b][use]))
+            hess += 2 * c * (z.T * wb) @ z
         if np.abs(grad).max() < 1e-6:
             break
-        step = np.linalg.solve(np.diag(reg) + 2 * c * (za.T * wa) @ za, grad)
-        rate = 1.0
-        while cost(w - rate * step) > cost(w) and rate > 1e-4:
+        step = np.linalg.solve(hess, grad)
+        rate, old = 1.0, cost(w, m)
+        while rate > 1e-4 and cost(w - rate * step, margins(w - rate * step)) > old:
             rate /= 2
         w = w - rate * step
+        m = margins(w)
     return w[:-1], w[-1]
 
 
@@ -215,12 +226,15 @@ class _Machine:
         value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
         good = value > 1e-4
         self.root = vector[:, good] / np.sqrt(value[good])
-        self.known: dict[str, np.ndarray] = {}
+        self.places: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
 
     def phi(self, strings: list[str]) -> np.ndarray:
-        new = [x for x in strings if x not in self.known]
-        self.known.update(zip(new, (self.space.kernel(new) @ self.root).astype(np.float32), strict=True))
-        return np.array([self.known[x] for x in strings], np.float64)
+        new = [x for x in strings if x not in self.places]
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+        self.rows += [(self.space.kernel(new[i : i + 2048]) @ self.root).astype(np.float32) for i in range(0, len(new), 2048)]
+        self.rows = [np.vstack(self.rows)]
+        return self.rows[0][[self.places[x] for x in strings]]
 
     def fit(self, toxic: Mapping[str, float], clean: Mapping[str, float]) -> Model:
         """Examples are sentences by the unit that speaks for them, with weights; toxic ones count a quarter of the
@@ -268,7 +282,7 @@ def _nothing_learnt() -> Model:
     return Model({k: np.zeros(ALPHABET**k, np.float32) for k in SPANS}, Model.EMPTY, 1.0, -30.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, landmarks: int = 320, rounds: int = 4, speakers: int = 2) -> Model:
+def train(docs: DataFrame, labels: DataFrame, where: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, landmarks: int = 320, rounds: int = 2, speakers: int = 2) -> Model:
     """Fit a model to a sample of labelled texts, of fixed size: at most ``max_toxic`` and ``max_clean`` rows, those
     with the smallest hashes of their ids.
 

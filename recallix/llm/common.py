@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words in the contracts: the space and the control characters 9 to 13.
@@ -144,11 +144,19 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def one_per_id(df: DataFrame, id_col: str) -> DataFrame:
-    """Drop rows that repeat an id; only rows of repeated ids are shuffled. Rows without an id all stay."""
-    again = narrow(df, id_col).where(col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(col(id_col))
+def one_of_equal(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Of rows that are equal in the named columns (null equals null) one stays, that with the smallest hash of its
+    columns other than maps. Only repeated rows are shuffled whole; each task keeps one of a group's rows before that."""
+    again = narrow(df, *names).groupBy(*(col(n) for n in names)).count().where("count > 1").drop("count")
+    again = again.toDF(*(f"_rx_again{i}" for i in range(len(names))))
     if again.isEmpty():
         return df
-    names = [col(c) for c in df.columns]
-    rest = df.join(again, id_col, "left_anti").select(*names)
-    return rest.unionByName(df.join(again, id_col, "left_semi").select(*names).dropDuplicates([id_col]))
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & col(n).eqNullSafe(F.col(f"_rx_again{i}"))
+    kept = [col(c) for c in df.columns]
+    turn = free_name(df.columns, "_rx_turn")
+    plain = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = Window.partitionBy(*(col(n) for n in names)).orderBy(F.xxhash64(*plain))
+    repeated = df.join(again, same, "left_semi").select(*kept).withColumn(turn, F.row_number().over(one)).where(col(turn) == 1).select(*kept)
+    return df.join(again, same, "left_anti").select(*kept).unionByName(repeated)

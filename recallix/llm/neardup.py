@@ -13,7 +13,7 @@ No radius that such a grid can carry finds nearly all texts that are similar eno
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, col, components, importable, one_per_id
+from .common import Table, col, components, free_name, importable, one_of_equal
 
 SEGMENTS = 32
 SEED = 42
@@ -29,6 +29,11 @@ _SLICE = 1 << 15
 _BROADCAST_IDS = 1_000_000
 #: Near copies by similarity: bands of minima, minima in a band, and the orders the minima are taken in.
 BANDS, ROWS = 24, 6
+_LONGS = -(-BANDS * ROWS // 64)
+_BITS = [f"b{i}" for i in range(_LONGS)]
+_OTHERS = [f"o{i}" for i in range(6)]
+_FACTS = ["shared", "extra", *_OTHERS]
+_DEVIATIONS = 4.0  # of an estimate by minima, 0.00003 on one side
 _BLOCK = 1 << 12
 _RANDOM = np.random.default_rng(SEED)
 _FLIPS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -126,68 +131,43 @@ def similarity(a: str | None, b: str | None, words: int = 5) -> float:
     return sum((x & y).values()) / most if most else 1.0
 
 
-def similar(docs: DataFrame, id_col: str, text_col: str, least: float, words: int = 5) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs (src, dst, and what else they have) of ids by the similarity of their whole texts. Only texts
-    that occur in a pair are fetched, one for each id."""
-
-    def check(pairs: DataFrame) -> DataFrame:
-        table = Table(pairs, "pairs")
-        ids = table.df.select(F.col("src").alias("_id")).unionByName(table.df.select(F.col("dst").alias("_id"))).distinct()
-        few = ids.count() <= _BROADCAST_IDS
-        source = docs.select(col(id_col).cast("long").alias("_id"), col(text_col).cast("string").alias("text"))
-        texts = Table(source.join(F.broadcast(ids) if few else ids, "_id", "left_semi").groupBy("_id").agg(F.min("text").alias("text")), "texts").df
-        rest = table.df.columns
-        both = table.df.join(texts.withColumnsRenamed({"_id": "src", "text": "a"}), "src").join(texts.withColumnsRenamed({"_id": "dst", "text": "b"}), "dst").select(*rest, "a", "b")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                keep = [similarity(a, b, words) >= least for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
-                yield from t.select(rest).filter(pa.array(keep, pa.bool_())).to_batches()
-
-        return both.mapInArrow(run, ", ".join(f"{c} long" for c in rest))
-
-    return check
-
-
-def link_groups(nodes: DataFrame, radius: int, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of the rows (node, fp, distinct fingerprints), by links of exact Hamming distance and, if
-    given, a check of the linked pairs.
+def link_groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, component) of the rows (node, fp, distinct nodes and fingerprints), by links of exact Hamming distance.
 
     A first pass links each fingerprint to the smallest node of each of its cells where the distance allows it:
     linear work that closes large groups of near copies. A second pass joins probes with cells and emits only links
     between different groups so far, so a group of n near copies doesn't emit its n*n pairs; every link not emitted
     joins two nodes of one group already.
     """
-    check = check or (lambda pairs: pairs)
     coded = nodes.select("node", "fp", embed(F.col("fp")).alias("code"))
     index = coded.select("node", "fp", "code", F.explode(own_cells(F.col("code"), radius)).alias("c")).select("node", "fp", "code", "c.g", "c.cell")
     heads = index.groupBy("g", "cell").agg(F.min(F.struct("node", "fp")).alias("head"))
     stars = index.join(heads, ["g", "cell"]).where((F.col("node") != F.col("head.node")) & (hamming(F.col("fp"), F.col("head.fp")) <= radius))
-    first = Table(check(stars.select(F.col("node").alias("src"), F.col("head.node").alias("dst")).distinct()), "stars")
+    first = Table(stars.select(F.col("node").alias("src"), F.col("head.node").alias("dst")).distinct(), "stars")
     grouped = Table(coded.join(components(first.df), "node", "left").select("node", "fp", "code", F.coalesce("component", "node").alias("grp")), "grouped")
+    first.drop()
     left = grouped.df.select("node", "fp", "code", "grp", F.explode(probe_cells(F.col("code"), radius)).alias("c")).select("node", "fp", "code", "grp", "c.g", "c.cell")
     right = grouped.df.select(F.col("node").alias("node2"), F.col("fp").alias("fp2"), F.col("code").alias("code2"), F.col("grp").alias("grp2"), F.explode(own_cells(F.col("code"), radius)).alias("c")).select("node2", "fp2", "code2", "grp2", F.col("c.g").alias("g2"), F.col("c.cell").alias("cell2"))
     met = left.join(right, (F.col("g") == F.col("g2")) & (F.col("cell") == F.col("cell2")) & (F.col("grp") != F.col("grp2")) & (hamming(F.col("code"), F.col("code2")) <= radius) & (hamming(F.col("fp"), F.col("fp2")) <= radius))
-    pairs = met.select(F.greatest("node", "node2").alias("src"), F.least("node", "node2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
-    merged = components(check(pairs).select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).select(F.col("node").alias("grp"), "component")
+    merged = components(met.select(F.greatest("grp", "grp2").alias("src"), F.least("grp", "grp2").alias("dst")).distinct()).withColumnRenamed("node", "grp")
     return grouped.df.join(merged, "grp", "left").select("node", F.coalesce("component", "grp").alias("component"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, least: float | None = None) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """Near-duplicate class of every row: (id, fp, component).
 
     component is the smallest id reachable over fingerprints at most ``radius`` bits apart, the row's own included.
-    With ``least``, a link also takes a similarity of the whole texts of at least that much, on five-word shingles.
-    Equal fingerprints are linked once, by their smallest id, however many rows hold them. Null and empty texts share
-    fingerprint zero and link like any other. A row without an id gets its fingerprint's component, null if no row of
-    the class has an id. An empty table gives an empty result; repeated rows repeat; other columns play no part.
+    Fingerprints are the nodes, however many rows hold one; ids are only names, so rows that repeat an id with
+    different texts are in the classes of their own texts. Null and empty texts share fingerprint zero and link like
+    any other. A row without an id gets its class's smallest id, null if no row of the class has one. An empty table
+    gives an empty result; repeated rows repeat; other columns play no part.
     """
     marks = Table(fingerprints(docs, id_col, text_col, words).select("id", "fp"), "fingerprints").df
-    nodes = Table(marks.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"), "nodes").df
-    check = None if least is None else similar(docs, id_col, text_col, least)
-    found = nodes.join(link_groups(nodes, radius, check), "node").select("fp", "component")
-    return marks.join(found, "fp", "left").select("id", "fp", "component")
+    named = Table(marks.groupBy("fp").agg(F.min("id").alias("least")), "nodes").df
+    groups = named.join(link_groups(named.select(F.col("fp").alias("node"), "fp"), radius), F.col("fp") == F.col("node")).select("fp", "least", F.col("component").alias("grp"))
+    groups = Table(groups, "classes").df
+    names = groups.groupBy("grp").agg(F.min("least").alias("component"))
+    return marks.join(groups.join(names, "grp").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def _elements(hashes: np.ndarray) -> np.ndarray:
@@ -209,37 +189,78 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, h, key, n, cells, sketch) of every row: the text's hash, the hash of its words, its number of shingles, one
-    cell for each band of minima, and a byte of each minimum. A text without words has no cells."""
+    """(id, h, key, n, bits, cells, sketch) of every row: the text's hash, the hash of its words, its number of shingles,
+    a bit of each minimum, one cell for each band of minima, and a byte of each minimum. A text without words has no
+    cells."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, cells, sketches = [], [], [], []
+            keys, sizes, bits, cells, sketches = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 tokens = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 hashes = shingle_hashes(t, words)
                 least = minima(hashes)
                 keys.append(_signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)))
                 sizes.append(len(hashes))
+                bits.append(np.packbits((least & np.uint64(1)).astype(bool), bitorder="little").tobytes().ljust(8 * _LONGS, b"\0"))
                 cells.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else [])
                 sketches.append(least.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "h", "key", "n", "cells", "sketch"])
+            longs = np.frombuffer(b"".join(bits), np.int64).reshape(-1, _LONGS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(longs[:, i]) for i in range(_LONGS)), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "h", "key", "n", *_BITS, "cells", "sketch"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, h long, key long, n long, cells array<long>, sketch binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id long, h long, key long, n long, {', '.join(f'{c} long' for c in _BITS)}, cells array<long>, sketch binary")
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = col(text_col).cast("string")
-    return docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, words: int) -> Table:
-    """The pairs (src, dst, and what else they have) of nodes whose whole texts are similar enough. Pairs whose sketches
-    agree far less than such texts' do go first; then only texts that occur in a pair are fetched, one for each node."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = col(text_col).cast("string")
+    return docs.select(col(id_col).cast("long").alias("id"), _text_hash(text).alias("h"), text.alias("text"))
+
+
+def _may_be_near(a: str, b: str, least: float) -> Column:
+    """Whether two nodes can be similar enough, by their numbers of shingles (exactly) and by the bits of their minima,
+    which differ in half of the minima that do; ``_DEVIATIONS`` are allowed for."""
+    x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    odds = (1 - least) / 2
+    most = BANDS * ROWS * odds + _DEVIATIONS * (BANDS * ROWS * odds * (1 - odds)) ** 0.5
+    unlike = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in _BITS), F.lit(0))
+    return (F.least(x("n"), y("n")) >= F.lit(least) * F.greatest(x("n"), y("n")) - F.lit(1e-9)) & (unlike <= most)
+
+
+def _may_share(a: str, b: str, least: float) -> Column:
+    """Whether two nodes that were both compared with one head can be similar enough. They share no more shingles than
+    the lesser of both shares with the head, and of the others no more than their bitmaps have bits in common and the
+    lesser has shingles beyond its bits. Exact: never false for similar texts, true where a comparison is missing."""
+    x, y = (lambda c: F.col(f"{a}{c}")), (lambda c: F.col(f"{b}{c}"))
+    both = sum((F.bit_count(x(c).bitwiseAND(y(c))) for c in _OTHERS), F.lit(0))
+    most = F.least(x("shared"), y("shared")) + both + F.least(x("extra"), y("extra"))
+    return F.coalesce(most >= F.lit(least / (1 + least)) * (x("n") + y("n")) - F.lit(1e-6), F.lit(True))
+
+
+def _measure(text: str | None, head: str | None, words: int) -> tuple[float, list[int]]:
+    """Similarity of two texts, and of the first one's shingles how many the second has, a bitmap of the others, and
+    how many those are beyond the bitmap's bits."""
+    own, its = _elements(shingle_hashes(text, words)), _elements(shingle_hashes(head, words))
+    known = np.isin(own, its)
+    shared = int(known.sum())
+    most = len(own) + len(its) - shared
+    at = (own[~known] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * len(_OTHERS))
+    bits = np.zeros(64 * len(_OTHERS), bool)
+    bits[at.astype(np.intp)] = True
+    return shared / most if most else 1.0, [shared, len(own) - shared - int(bits.sum()), *np.packbits(bits).view(np.int64).tolist()]
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, guess: float, least: float, words: int) -> Table:
+    """The pairs (src, dst, and what else they have) with ``alike``, whether the whole texts are similar enough, and what
+    ``_measure`` says of them. Pairs whose sketches agree far less than those of texts of similarity ``guess`` do are left
+    out; then only texts that occur in a pair are fetched, one for each node."""
     rest = pairs.columns
-    enough = BANDS * ROWS * least - 5.5 * (BANDS * ROWS * least * (1 - least)) ** 0.5
-    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{name}"), F.col("sketch").alias(name))
+    enough = BANDS * ROWS * guess - _DEVIATIONS * (BANDS * ROWS * guess * (1 - guess)) ** 0.5
+    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sketch").alias(name))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,58 +268,98 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, wo
             a, b = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in "ab")
             yield from t.select(rest).filter(pa.array((a == b).sum(axis=1) >= enough, pa.bool_())).to_batches()
 
-    sized = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9))
-    table = Table(sized.select(*rest, "a", "b").mapInArrow(close, ", ".join(f"{c} long" for c in rest)), "pairs")
+    table = Table(pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select(*rest, "a", "b").mapInArrow(close, ", ".join(f"{c} long" for c in rest)), "pairs")
     ends = table.df.select(F.col("src").alias("node")).unionByName(table.df.select(F.col("dst").alias("node"))).distinct()
-    wanted = Table(nodes.select("node", "id", "h").join(ends, "node", "left_semi"), "wanted").df
-    few = wanted.count() <= _BROADCAST_IDS
-    texts = Table(docs.join(F.broadcast(wanted) if few else wanted, ["id", "h"]).groupBy("node").agg(F.min("text").alias("text")), "texts").df
-    both = table.df.join(texts.withColumnsRenamed({"node": "src", "text": "a"}), "src").join(texts.withColumnsRenamed({"node": "dst", "text": "b"}), "dst").select(*rest, "a", "b")
+    wanted = Table(nodes.select("node", F.col("id").alias("_id"), F.col("h").alias("_h")).join(ends, "node", "left_semi"), "wanted")
+    few = wanted.df.count() <= _BROADCAST_IDS
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    texts = Table(docs.join(F.broadcast(wanted.df) if few else wanted.df, same).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    both = table.df.join(texts.df.withColumnsRenamed({"node": "src", "text": "a"}), "src").join(texts.df.withColumnsRenamed({"node": "dst", "text": "b"}), "dst").select(*rest, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            keep = [similarity(a, b, words) >= least for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
-            yield from t.select(rest).filter(pa.array(keep, pa.bool_())).to_batches()
+            got = [_measure(a, b, words) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+            out = t.select(rest).append_column("alike", pa.array([g[0] >= least for g in got], pa.bool_()))
+            for i, c in enumerate(_FACTS):
+                out = out.append_column(c, pa.array([g[1][i] for g in got], pa.int64()))
+            yield from out.to_batches()
+
+    out = Table(both.mapInArrow(check, ", ".join([*(f"{c} long" for c in rest), "alike boolean", *(f"{c} long" for c in _FACTS)])), "compared")
+    for x in (table, wanted, texts):
+        x.drop()
+    return out
+
+
+def _joined(groups: Table, found: DataFrame) -> Table:
+    """The groups with those of the links (g1, g2) made one."""
+    merged = components(found.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).withColumnRenamed("node", "grp")
+    out = Table(groups.df.join(merged, "grp", "left").select("node", F.coalesce("component", "grp").alias("grp")), "groups")
+    groups.drop()
+    return out
+
 
-    return Table(both.mapInArrow(check, ", ".join(f"{c} long" for c in rest)), "alike")
+def _node_groups(nodes: DataFrame, texts: DataFrame, least: float, words: int) -> Table:
+    """(node, grp) of the nodes by links of similar texts that share a band of minima.
+
+    First every text is compared with one text of each of its cells, the one that shares most places in cells with
+    others: an original comes first that way, its copies meet it, and a large group closes with linear work. Then the
+    cells that still hold more than one group are joined. Only pairs that sizes, bits and what both texts share with
+    the cell's head allow are emitted, so copies of one original that are too far from each other stay apart without
+    being compared pair by pair."""
+    cells = nodes.select("node", "n", *_BITS, F.explode("cells").alias("cell"))
+    shared = Table(cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "cell"), "cells")
+    links = Table(shared.df.select("cell", "node", "n", *_BITS).join(shared.df.groupBy("node").agg(F.sum("c").alias("rank")), "node"), "cell-nodes")
+    shared.drop()
+    heads = Table(links.df.groupBy("cell").agg(F.max(F.struct("rank", "node")).alias("y")).select("cell", F.col("y.node").alias("head")), "heads")
+    stars = _compared(links.df.join(heads.df, "cell").where("node != head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct(), nodes, texts, 0.0, least, words)
+    groups = _joined(Table(nodes.select("node", F.col("node").alias("grp")), "groups"), stars.df.where("alike").select(F.col("src").alias("g1"), F.col("dst").alias("g2")))
+
+    index = links.df.join(groups.df, "node").join(heads.df.select("cell", "head"), "cell")
+    mixed = index.groupBy("cell").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high").select("cell")
+    facts = stars.df.select(F.col("src").alias("node"), F.col("dst").alias("head"), *_FACTS)
+    known = index.join(mixed, "cell").join(facts, ["node", "head"], "left")
+    row = Table(known.select("cell", F.struct("node", "grp", "n", *_BITS, *_FACTS).alias("x")), "cell-rows")
+    pair = row.df.join(row.df.withColumnRenamed("x", "y"), "cell").where((F.col("x.grp") < F.col("y.grp")) & _may_be_near("x.", "y.", least) & _may_share("x.", "y.", least))
+    pairs = pair.select(F.greatest("x.node", "y.node").alias("src"), F.least("x.node", "y.node").alias("dst"), F.greatest("x.grp", "y.grp").alias("g1"), F.least("x.grp", "y.grp").alias("g2")).distinct()
+    last = _compared(pairs, nodes, texts, least, least, words)
+    groups = _joined(groups, last.df.where("alike").select("g1", "g2"))
+    for x in (links, heads, stars, row, last):
+        x.drop()
+    return groups
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, h, first) of every row with an id: the hash of its text and the smallest id of its group of near copies.
-
-    Groups are connected by a similarity of whole texts of at least ``least``. Candidates share a band of minima: two
-    texts of similarity s do but for a chance of (1 - s ** ROWS) ** BANDS, 0.0007 at 0.8. Two passes compare each text
-    with one text of each of its cells, the last one joins cells that still hold more than one group."""
-    marks = Table(signatures(docs.where(col(id_col).isNotNull()), id_col, text_col, words), "signatures").df
-    one = marks.groupBy("key").agg(F.min(F.struct("id", "h")).alias("r")).select(F.col("r.id").alias("id"), F.col("r.h").alias("h"))
-    nodes = Table(marks.join(one, ["id", "h"], "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "node"), "nodes").df
-    texts = _texts(docs, id_col, text_col)
-    groups = nodes.select("node", F.col("node").alias("grp"))
-    for pick in (F.min, F.max, None):
-        index = nodes.select("node", F.explode("cells").alias("cell")).join(groups, "node")
-        shared = index.groupBy("cell").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), (pick or F.min)(F.struct("node", "grp")).alias("head")).where("low != high").select("cell", "head")
-        index = index.join(shared, "cell")
-        if pick:
-            met = index.select("node", "grp", F.col("head.node").alias("node2"), F.col("head.grp").alias("grp2")).where("grp != grp2")
-        else:
-            other = index.select("cell", F.col("node").alias("node2"), F.col("grp").alias("grp2"))
-            met = index.join(other, "cell").where("grp < grp2").select("node", "grp", "node2", "grp2")
-        pairs = met.select(F.greatest("node", "node2").alias("src"), F.least("node", "node2").alias("dst"), F.greatest("grp", "grp2").alias("g1"), F.least("grp", "grp2").alias("g2")).distinct()
-        alike = _alike(pairs, nodes, texts, least, words)
-        merged = components(alike.df.select(F.col("g1").alias("src"), F.col("g2").alias("dst"))).withColumnRenamed("node", "grp")
-        groups = Table(groups.join(merged, "grp", "left").select("node", F.coalesce("component", "grp").alias("grp")), "groups").df
-    named = marks.select("id", "h", F.col("key").alias("node")).join(groups, "node")
-    return named.join(named.groupBy("grp").agg(F.min("id").alias("first")), "grp").select("id", "h", "first")
+    """(id, h, first) of every distinct (id, text): the hash of the text, and the row of its group of near copies that
+    stands first, as a struct (nameless, id, h): the smallest id, rows without one last, then the smallest hash.
+
+    Groups are connected by a similarity of whole texts of at least ``least``. Texts with the same words are one node,
+    whatever rows hold them. Candidates share a band of minima: two texts of similarity s do but for a chance of
+    (1 - s ** ROWS) ** BANDS, 0.0007 at 0.8."""
+    marks = Table(signatures(docs, id_col, text_col, words), "signatures")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "h")
+    one = marks.df.groupBy("key").agg(F.min(order).alias("r"))
+    nodes = Table(marks.df.join(one, "key").where(F.col("id").eqNullSafe(F.col("r.id")) & (F.col("h") == F.col("r.h"))).drop("r").dropDuplicates(["key"]).withColumnRenamed("key", "node"), "nodes")
+    groups = _node_groups(nodes.df, _texts(docs, id_col, text_col), least, words)
+    named = Table(marks.df.select("id", "h", F.col("key").alias("node")).distinct().join(groups.df, "node").select("id", "h", "grp"), "named")
+    for x in (marks, nodes, groups):
+        x.drop()
+    return named.df.join(named.df.groupBy("grp").agg(F.min(order).alias("first")), "grp").select("id", "h", "first")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id, with all columns as they were.
 
-    Of rows that repeat an id one stays. Rows without an id can't be named in a group, and all stay."""
-    gone = copies(docs, id_col, text_col, words, least).where("id != first").select(F.col("id").alias("_rx_gone")).distinct()
-    kept = docs.join(gone, col(id_col).cast("long") == F.col("_rx_gone"), "left_anti").select(*(col(c) for c in docs.columns))
-    return one_per_id(kept, id_col)
+    Documents are told apart by id and text: different texts under one id are documents of their own, rows that repeat
+    both are copies, of which one stays (that with the smallest hash of its other columns). Rows without an id take
+    part and stay only where no row of their group has an id. Null and empty texts, and texts of the same words, are
+    copies of each other. An empty table gives no rows; other columns play no part."""
+    h = free_name(docs.columns, "_rx_h")
+    found = copies(docs, id_col, text_col, words, least)
+    gone = Table(found.where(~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("h") != F.col("first.h"))).select(F.col("id").alias("_rx_gone"), F.col("h").alias("_rx_hash")).distinct(), "gone").df
+    hashed = docs.withColumn(h, _text_hash(col(text_col).cast("string")))
+    kept = hashed.join(gone, (F.col("_rx_hash") == col(h)) & F.col("_rx_gone").eqNullSafe(col(id_col).cast("long")), "left_anti").select(*(col(c) for c in hashed.columns))
+    return one_of_equal(kept, [id_col, h]).select(*(col(c) for c in docs.columns))
 
 
 __all__ = ["classes", "copies", "fingerprints", "link_groups", "majority", "near_dedup", "shingle_hashes"]

@@ -57,20 +57,30 @@ def _valid(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array of whole numbers, the element included. An array that grows by one element is copied each
+    time, so sums are taken in blocks of about the root of the length first: n ** 1.5 steps, not n ** 2."""
+    nothing = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(steps))).cast("int"))
+    starts = F.sequence(F.lit(1), F.size(steps), block)
+    inside = lambda x: F.aggregate(x, nothing(), lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v)).alias("out")))["out"]
+    sums = F.transform(starts, lambda i: inside(F.slice(steps, i, block)))
+    # One binding, so that the blocks are summed once.
+    whole = lambda blocks: F.flatten(F.zip_with(blocks, F.aggregate(blocks, nothing(), lambda acc, x: F.struct((acc["at"] + F.element_at(x, -1)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"], lambda x, base: F.transform(x, lambda v: v + base)))
+    return F.when(F.size(steps) > 0, F.element_at(F.transform(F.array(sums), whole), 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _places(text: Column, pattern: str, rank: int, valid=None) -> Column:
-    """Matches of a pattern as spans, by code points. Only valid ones are copied; without a match nothing is built."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    keep = valid or (lambda m: F.lit(True))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("out"))
+    """Matches of a pattern as spans, by code points; without a match nothing is built."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        stop = at + F.length(x["m"])
-        span = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["m"].alias("value")))
-        return F.struct(stop.alias("at"), F.when(keep(x["m"]), F.concat(F.coalesce(acc["out"], F.array().cast(_SPAN)), span)).otherwise(acc["out"]).cast(_SPAN).alias("out"))
+    def spans_of(x: Column) -> Column:
+        found = x["found"]
+        stops = _running(F.zip_with(found, F.slice(x["between"], 1, F.size(found)), lambda m, gap: F.length(gap) + F.length(m)))
+        every = F.zip_with(found, stops, lambda m, stop: F.struct((stop - F.length(m)).alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), m.alias("value")))
+        return F.filter(every, lambda s: valid(s["value"])) if valid else every
 
-    return F.when(text.rlike(pattern), F.coalesce(F.aggregate(pairs, start, step)["out"], F.array().cast(_SPAN))).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(both), spans_of), 1).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -96,17 +106,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def disclosing_terms(source: DataFrame, found: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
     """(entity, term, share) of the terms that reveal at least the share ``generalise`` of an entity.
 
-    ``found`` has (id, h, entity) for each entity found. Documents are counted over the whole corpus, rows that repeat a
-    document once. A term must stand in ``min_docs`` documents of the entity, anywhere in them: fewer give no estimate.
+    ``found`` has (id, h, entity) for each entity found. Every row of the corpus counts as a document, for terms, entities
+    and both alike. A term must stand in ``min_docs`` documents of the entity, anywhere in them: fewer give no estimate.
     An entity of fewer documents has no such term, so only texts that hold one of enough documents are read for this."""
-    held = found.select("id", "h", "entity").distinct()
-    with_entity = Table(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).where(F.col("df_e") >= min_docs), "entities").df
+    held = found.groupBy("id", "h", "entity").agg(F.count(F.lit(1)).alias("n"))
+    with_entity = Table(held.groupBy("entity").agg(F.sum("n").alias("df_e")).where(F.col("df_e") >= min_docs), "entities").df
     often = with_entity.select("entity")
-    holders = Table(held.join(F.broadcast(often) if often.count() <= _BROADCAST_ROWS else often, "entity").groupBy("id", "h").agg(F.collect_list("entity").alias("entities")).withColumnsRenamed({"id": "i2", "h": "h2"}), "holders").df
+    holders = Table(held.join(F.broadcast(often) if often.count() <= _BROADCAST_ROWS else often, "entity").groupBy("id", "h").agg(F.collect_list("entity").alias("entities"), F.max("n").alias("n")).withColumnsRenamed({"id": "i2", "h": "h2"}), "holders").df
     side = F.broadcast(holders) if holders.count() <= _BROADCAST_ROWS // 10 else holders
     texts = source.join(side, F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))).dropDuplicates(["id", "h"])
-    terms = texts.select("entities", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    joint = Table(terms.select(F.explode("entities").alias("entity"), "term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_docs), "joint").df
+    terms = texts.select("entities", "n", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    joint = Table(terms.select(F.explode("entities").alias("entity"), "term", "n").groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= min_docs), "joint").df
     wanted = joint.select("term").distinct()
     if wanted.count() <= _BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -150,8 +160,8 @@ def _count(rank: int) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
-    Null and empty texts have no spans. Rows that repeat an id are judged by their own texts and count as documents
-    of their own unless the text is equal too. Rows without an id stay. An empty table gives no rows; other columns
+    Null and empty texts have no spans. Rows that repeat an id are judged by their own texts, and each row counts
+    as a document. Rows without an id stay. An empty table gives no rows; other columns
     play no part."""
     base, terms = spans(docs, id_col, text_col)
     terms = terms.withColumnsRenamed({"id": "i2", "h": "h2"})

@@ -35,12 +35,18 @@ def normalise(line: Column) -> Column:
     return F.trim(F.regexp_replace(marks, "  +", " "))
 
 
+def _normalised_lines(text: Column) -> Column:
+    """The lines of a whole text, normalised but for a space at their ends. Runs are replaced before the text is cut, and
+    single spaces between words, most of all runs, don't match."""
+    marks = r"\x00-\x09\x0b-\x1f!-/:-@\[-`{-\x7f"
+    return F.split(F.regexp_replace(F.lower(text), rf"[{marks}][ {marks}]*+| [ {marks}]++", " "), "\n", -1)
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, lid, norm, n_words) of every line that has a word, whole texts."""
-    text = col(text_col).cast("string")
-    lines = docs.select(col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return lines.select("id", "pos", normalise(F.col("line")).alias("norm")).where("norm != ''").select("id", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
+    lines = docs.select(col(id_col).cast("long").alias("id"), F.posexplode(_normalised_lines(col(text_col).cast("string"))).alias("pos", "line"))
+    words = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return lines.select("id", "pos", F.trim("line").alias("norm")).where("norm != ''").select("id", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
 
 
 def _prints(occ: DataFrame, lanes: int) -> DataFrame:

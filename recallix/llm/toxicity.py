@@ -108,7 +108,8 @@ def _features(pieces: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
             for j in range(letters):
                 direct = direct * ALPHABET + np.minimum(codes[:, index[:, j]], ALPHABET - 1)
             foreign = (codes[:, index] >= ALPHABET).any(axis=2)
-            number = np.where(foreign, (number * _PRIME >> 24) % ALPHABET**letters, direct)
+            mixed = number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            number = np.where(foreign, (mixed % np.uint64(ALPHABET**letters)).astype(np.int64), direct)
         yield letters, number, weight
 
 

@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Table, col, components
+from .common import Table, col, components, free_name
 
 SIMILARITY = 0.8
 _RUN, _LONG = 4, 16  # lines of _LONG words or more have segments of _RUN words at least
@@ -43,10 +43,11 @@ def _normalised_lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, lid, norm, n_words) of every line that has a word, whole texts."""
-    lines = docs.select(col(id_col).cast("long").alias("id"), F.posexplode(_normalised_lines(col(text_col).cast("string"))).alias("pos", "line"))
+    """(id, h, pos, lid, norm, n_words) of every line that has a word, whole texts; h is the hash of the text."""
+    text = col(text_col).cast("string")
+    lines = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.posexplode(_normalised_lines(text)).alias("pos", "line"))
     words = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return lines.select("id", "pos", F.trim("line").alias("norm")).where("norm != ''").select("id", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
+    return lines.select("id", "h", "pos", F.trim("line").alias("norm")).where("norm != ''").select("id", "h", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
 
 
 def _prints(occ: DataFrame, lanes: int) -> DataFrame:
@@ -198,28 +199,64 @@ def line_groups(occ: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos) of the lines that go: all but the first occurrence of each group of equal or near lines."""
-    occ = Table(occurrences(docs, id_col, text_col).where("id is not null"), "lines").df
-    groups = line_groups(occ)
-    keyed = Table(occ.select("id", "pos", "lid").join(groups, "lid").select("id", "pos", "grp"), "grouped-lines").df
-    first = keyed.groupBy("grp").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(first, "grp").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos"))).select("id", "pos")
+    """(id, h, pos) of the lines that go: all but the first occurrence of each group of equal or near lines, by id (rows
+    without one last), hash of the text and position. Rows equal in id and text count once here."""
+    occ = Table(occurrences(docs, id_col, text_col), "lines")
+    groups = line_groups(occ.df)
+    keyed = Table(occ.df.select("id", "h", "pos", "lid").distinct().join(groups, "lid").select(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "pos").alias("at"), "grp"), "grouped-lines")
+    occ.drop()
+    first = keyed.df.groupBy("grp").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = Table(keyed.df.join(first, "grp").where(~F.col("at").eqNullSafe(F.col("first"))).select("at.id", "at.h", "at.pos"), "gone-lines")
+    keyed.drop()
+    return gone.df
+
+
+def _with_gone(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """The documents with two columns more: the places of the lines that go (null if none), and whether the row repeats an
+    equal one, of which all lines with a word go. Only rows that repeat are written to tell the first of them."""
+    again, gone, h, mark = (free_name(docs.columns, x) for x in ("_rx_again", "_rx_gone", "_rx_text", "_rx_mark"))
+    rows = docs.withColumn(h, F.xxhash64(col(text_col).cast("string")))
+    own, names = col(id_col).cast("long"), [col(c) for c in (*docs.columns, h)]
+    repeated = rows.groupBy(own.alias("_i"), col(h).alias("_t")).count().where("count > 1").select("_i", "_t")
+    same = own.eqNullSafe(F.col("_i")) & (col(h) == F.col("_t"))
+    if repeated.isEmpty():
+        told = rows.withColumn(again, F.lit(False))
+    else:
+        here = Table(rows.join(repeated, same, "left_semi").select(*names).withColumn(mark, F.monotonically_increasing_id()), "equal-rows").df
+        firsts = here.groupBy(own.alias("_i"), col(h).alias("_t")).agg(F.min(mark).alias("_m"))
+        later = here.join(firsts, same).select(*names, (col(mark) != F.col("_m")).alias(again))
+        told = rows.join(repeated, same, "left_anti").select(*names, F.lit(False).alias(again)).unionByName(later)
+    places = dropped_lines(docs, id_col, text_col).groupBy(F.col("id").alias("_i"), F.col("h").alias("_t")).agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+    return told.join(places, same, "left").select(*(col(c) for c in docs.columns), F.col("_p").alias(gone), col(again)), gone, again
+
+
+def _lines_that_go(text: Column, gone: str, again: str) -> Column:
+    worded = F.filter(F.transform(_normalised_lines(text), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    return F.coalesce(F.when(col(again), worded).otherwise(col(gone)), F.array().cast("array<int>"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_kept, dropped) of every document; ``dropped`` lists the places from 0 of the lines that go.
 
     Lines of marks and spaces only always stay and are like no line. A null text has no lines, an empty one has one.
-    Rows that repeat an id share their places: a line goes from all of them or stays in all of them. Lines of rows
-    without an id stay. An empty table gives no rows; other columns play no part."""
-    gone = dropped_lines(docs, id_col, text_col).distinct().groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    lines = docs.select(col(id_col).cast("long").alias("id"), F.greatest(F.size(F.split(col(text_col).cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return lines.join(gone, "id", "left").select("id", "n_lines", (F.col("n_lines") - F.coalesce(F.size("gone"), F.lit(0))).alias("n_kept"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+    Rows are told apart by id and text: different texts under one id are documents of their own, of equal rows all
+    lines with a word go but in one. Rows without an id come last. An empty table gives no rows; other columns play no
+    part."""
+    text = col(text_col).cast("string")
+    narrow = docs.select(col(id_col).cast("long").alias("id"), text.alias("text"))
+    rows, gone, again = _with_gone(narrow, "id", "text")
+    told = rows.select("id", F.greatest(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), _lines_that_go(F.col("text"), gone, again).alias("gone"))
+    return told.select("id", "n_lines", (F.col("n_lines") - F.size("gone")).alias("n_kept"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the lines that go taken out of their texts; other columns as they were."""
-    gone = dropped_lines(docs, id_col, text_col).distinct().groupBy("id").agg(F.collect_list("pos").alias("_rx_gone")).withColumnRenamed("id", "_rx_id")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(F.split(col(text_col), "\n", -1)) - 1), F.col("_rx_gone")), lambda i: F.get(F.split(col(text_col), "\n", -1), i)), "\n")
-    joined = docs.join(gone, col(id_col).cast("long") == F.col("_rx_id"), "left")
-    return joined.select(*(F.when(F.col("_rx_gone").isNull(), col(c)).otherwise(kept).alias(c) if c == text_col else col(c) for c in docs.columns))
+    """The documents with the lines that go (see ``line_report``) taken out of their texts; null texts stay null, a text
+    of which all lines go becomes empty, other columns stay as they were."""
+    rows, gone, again = _with_gone(docs, id_col, text_col)
+    text = col(text_col).cast("string")
+    lines = F.split(text, "\n", -1)
+    some = col(again) | col(gone).isNotNull()
+    # Places in the order of the text; a map gives each line's in one step.
+    out = F.map_from_entries(F.transform(_lines_that_go(text, gone, again), lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(out, i)), "\n")
+    return rows.select(*(F.when(some & text.isNotNull(), kept).otherwise(col(c)).alias(c) if c == text_col else col(c) for c in docs.columns))

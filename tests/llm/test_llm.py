@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every awkward row there is."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -479,7 +480,7 @@ def test_lines_equal_brute_force(spark):
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
             a, b = norm[i], norm[j]
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and edit(a.split(" "), b.split(" ")) <= 0.2 * max(len(a.split(" ")), len(b.split(" "))) + 1e-9:
+            if edit(a.split(" "), b.split(" ")) <= 0.2 * max(len(a.split(" ")), len(b.split(" "))) + 1e-9:
                 up[max(top(i), top(j))] = min(top(i), top(j))
     seen, want = set(), set()
     for r in sorted(occ.collect(), key=lambda r: (r["id"], r["pos"])):
@@ -653,28 +654,161 @@ def test_pii_awkward(spark, awkward, empty):
     assert pii.report(empty).count() == 0 and pii.sanitise(awkward).columns == awkward.columns
 
 
+def test_places_in_long_texts(spark):
+    text = " ".join(f"ab{'cde'[i % 3]}" if i % 7 else "漢 12" for i in range(8000))
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(pii._places(F.col("t"), pii.TERM, 4).alias("p")).collect()
+    assert [(x["start"], x["stop"], x["value"]) for x in got[0]["p"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+    assert got[1]["p"] == got[2]["p"] == []
+
+
+def test_rows_not_ids_are_documents(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    df = table(spark, [a, b, a, b], [1, 1, 2, 3])
+    got = neardup.classes(df).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)] and len({r["fp"] for r in got}) == 2
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.near_dedup(df).collect()) == sorted([(1, a), (1, b)])
+    nameless = table(spark, [a, a, b, b, None, ""], [None, None, None, 7, 8, 9])
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in neardup.near_dedup(nameless).collect()) == sorted([(-1, a), (7, b), (8, "")])
+    lines = table(spark, [f"{a}\nother things stand here now", f"{a}\nfoo bar", "a unique line that stands nowhere else\nsecond"], [0, 1, 1])
+    out = sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(lines).collect())
+    assert out == sorted([(0, f"{a}\nother things stand here now"), (1, "foo bar"), (1, "a unique line that stands nowhere else\nsecond")])
+    equal = table(spark, [f"{a}\n--", f"{a}\n--", f"{a}\n--"], [1, 1, None])
+    assert sorted(r["text"] for r in linededup.dedup_lines(equal).collect()) == sorted([f"{a}\n--", "--", "--"])
+    assert sorted((r["id"] or -1, r["n_kept"], r["dropped"]) for r in linededup.line_report(equal).collect()) == [(-1, 1, "0"), (1, 1, "0"), (1, 2, "")]
+
+
+def test_mix_of_repeated_rows_keeps_the_budget(spark):
+    rng = np.random.default_rng(31)
+    texts = [" ".join(["w"] * int(rng.integers(0, 12))) for _ in range(60)]
+    df = table(spark, texts, [None if i % 3 == 0 else i % 5 for i in range(60)], [str("ab"[i % 2]) for i in range(60)])
+    plan, mixed = mixing.plan(df).collect(), mixing.mix(df).collect()
+    words = sum(r["size"] * r["copies"] for r in plan)
+    assert len(plan) == 60 and words == sum(len(words_of(r["text"])) for r in mixed) <= sum(len(words_of(t)) for t in texts)
+
+
+def test_spans_of_time_with_many_rows(spark):
+    df = table(spark, ["w"] * 3000 + [" ".join(["w"] * 3000)] * 3, None, ["a"] * 3000 + ["b"] * 3)
+    rows = {bucket: {(r["id"], r["copies"], r["position"]) for r in mixing.plan(df, bucket_rows=bucket).collect()} for bucket in (40, 4096)}
+    assert rows[40] == rows[4096] and len(rows[40]) == 3003
+
+
+def test_ranges_are_found_among_many_boundaries(spark):
+    rng = np.random.default_rng(32)
+    keys = sorted({(int(a) << 64) + int(b) for a, b in zip(rng.integers(0, 1 << 12, 100_000), rng.integers(0, 1 << 62, 100_000), strict=True)})
+    asked = [keys[i] + d for i in range(0, len(keys), 997) for d in (-1, 0, 1)] + [0, (1 << 128) - 1]
+    rows = [sharding._halves(k) for k in asked]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h long, d long")
+    got = {r["i"]: r["part"] for r in df.select("i", sharding.range_of(spark, keys)(F.col("h"), F.col("d"))["part"].alias("part")).collect()}
+    assert got == {i: sum(k <= x for k in keys) for i, x in enumerate(asked)}
+
+
+def test_hot_ids_of_tokens_are_split_and_found(spark, tmp_path):
+    texts = [f"text number {i} of a hot id" for i in range(600)]
+    df = table(spark, texts, [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(600)])
+    path = f"file://{tmp_path}/hot"
+    tokens.write(df, path, queries.tokenizer_path(), shard_bytes=2_000)
+    rows = tokens.read(spark, path)
+    assert rows.where("id is null").select("shard").distinct().count() > 1 and rows.where("id = 5").select("shard").distinct().count() > 1
+    ordered = sorted(rows.collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in ordered] == [0, *np.cumsum([r["n_tokens"] for r in ordered]).tolist()][:-1]
+    assert [(r["id"] is not None, r["id"] or 0) for r in ordered] == sorted((r["id"] is not None, r["id"] or 0) for r in ordered)
+    found = tokens.lookup(spark, path, [5, 8, 9_999]).collect()
+    assert Counter(r["id"] for r in found) == {5: 201, 8: 1} and all(r["ids"][-1] == 2 for r in found)
+
+
+def test_window_blocks_cover_every_hit():
+    rng = np.random.default_rng(33)
+    for m in (1, 7, 5000):
+        hits, last = np.unique(rng.integers(0, 20_000, 300)), 19_000
+        blocks = list(decontaminate._blocks(hits, m, last))
+        assert np.concatenate(blocks).tolist() == sorted({min(max(h - i, 0), last) for h in hits.tolist() for i in range(m)})
+        assert all(b[-1] - b[0] < decontaminate._ROWS for b in blocks)
+
+
+def test_license_scan_equals_brute_force(spark):
+    rng = np.random.default_rng(34)
+    vocab = [f"v{i}" for i in range(300)]
+    words = {n: [w.lower().strip("\"'.,;:()<>[]{}!?") for w in t.split()] for n, t in license_scan.TEMPLATES.items()}
+    texts = [" ".join(rng.choice(vocab, 60)) for _ in range(10)]
+    for t in license_scan.TEMPLATES.values():
+        for drop in (0, 1):
+            ws = [w for i, w in enumerate(t.split()) if not (drop and i % 17 == 16)]
+            texts.append(" ".join([*rng.choice(vocab, 15), *ws, *rng.choice(vocab, 15)]))
+    found = {(r["id"], r["license"]): r for r in license_scan.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        own = [w.lower().strip("\"'.,;:()<>[]{}!?") for w in t.split()]
+        for name, want in words.items():
+            row = [0] * (len(own) + 1)
+            for x in want:  # longest common subsequence
+                last, row = row, [0]
+                for j, y in enumerate(own):
+                    row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+            best = row[-1] / len(want)
+            if (i, name) in found:
+                assert found[i, name]["coverage"] <= best + 1e-6
+            else:
+                assert best < 0.8 or best < 0.8 + 2 / len(want), (i, name, best)
+
+
+def test_kernel_counts_gapped_subsequences():
+    def plain(a, b):
+        out = 0.0
+        for n, span in toxicity.SPANS.items():
+            sides = []
+            for x in (a, b):
+                x, c = f"^{x}$", Counter()
+                for at in itertools.combinations(range(len(x)), n):
+                    if at[-1] - at[0] < span:
+                        c["".join(x[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+                size = sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1 - n)) for at in itertools.combinations(range(len(x)), n) if at[-1] - at[0] < span) ** 0.5
+                sides.append({k: v / size for k, v in c.items()})
+            out += sum(v * sides[1].get(k, 0) for k, v in sides[0].items()) / len(toxicity.SPANS)
+        return out
+
+    words = ["blockhead", "blockxhead", "head", "dimwit", "дурак", "долек"]
+    got = toxicity._Landmarks(words).kernel(words)
+    same = lambda x: x.replace("^", "").replace("$", "")
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert abs(got[i, j] - plain(same(a), same(b))) < 1e-4, (a, b)
+
+
+def test_media_of_documents_equals_plain_bytes(spark, awkward):
+    texts = {r["doc_id"]: r["text"] for r in awkward.where("doc_id is not null and doc_id != 2").collect()}
+    for r in media.document_media(awkward.where("doc_id is not null and doc_id != 2")).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        full = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        image = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        x = np.frombuffer(full, np.uint8).astype(float)
+        share = "-".join(str(int(((x >= 32 * k) & (x < 32 * k + 32)).sum()) * 1000 // len(x)) for k in range(8))
+        want = (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(image), hashlib.sha256(image).hexdigest(), f"{len(full) // 64}:{x.mean():.4f}:{x.std():.4f}:{share}")
+        assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+
+
 # The pipeline -----------------------------------------------------------------------------------------------------
 
 
-def brute_near_dedup(rows, radius=7, least=0.8):
-    first = {}
+def brute_near_dedup(rows, least=0.8):
+    """Groups by similarity alone: texts without a shingle in common aren't similar, all others are compared."""
+    first, shared = {}, {}
     for i, t in sorted(rows.items()):
-        first.setdefault(brute_print(t), i)
-    prints = {i: f for f, i in first.items()}
-    up = {i: i for i in prints}
+        first.setdefault(tuple((t or "").encode().lower().split()), i)
+    ids = sorted(first.values())
+    up = {i: i for i in ids}
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(prints)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= radius and neardup.similarity(rows[i], rows[j]) >= least:
-                a, b = sorted((top(i), top(j)))
-                up[b] = a
-    return {i for i, t in rows.items() if top(first[brute_print(t)]) == i}
+    for i in ids:
+        for h in set(neardup.shingle_hashes(rows[i], 5).tolist()):
+            shared.setdefault(h, []).append(i)
+    for i, j in sorted({(i, j) for x in shared.values() for n, i in enumerate(x) for j in x[n + 1 :]}):
+        if neardup.similarity(rows[i], rows[j]) >= least:
+            a, b = sorted((top(i), top(j)))
+            up[b] = a
+    return {i for i in ids if top(i) == i}
 
 
 def test_pipeline_stages_equal_brute_force(spark, folder, docs, tokenizer):

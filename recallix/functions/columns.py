@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The 32-bit FNV-1a constants.
 FNV_OFFSET, FNV_PRIME, MASK32 = 2166136261, 16777619, 4294967295
 
 
@@ -14,12 +15,12 @@ def clamp01(x: Column) -> Column:
 
 def fields(text: Column) -> Column:
     """Words divided by white space, without empty ones, in order and with repeats."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_tokens(text: Column) -> Column:
     """Lower-case tokens of letters, digits and underscores, in order and with repeats."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9_]+", " ")), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9_]+", " ")), " "), "")
 
 
 def token_set(text: Column, least: int = 2) -> Column:

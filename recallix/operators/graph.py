@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a reliable checkpoint, where the session names a folder for it; else by a written table of the
-    local session. Executors may be lost without losing it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
 
-        folder = "file://" + tempfile.mkdtemp(prefix="recallix-graph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def expand_one_hop(seeds: DataFrame, edges: DataFrame, types: Sequence[str] = ()) -> DataFrame:
@@ -47,13 +33,13 @@ def trace(seeds: DataFrame, edges: DataFrame, max_depth: int = 8, directed: bool
     allowed = edges.where((F.col("weight") >= min_weight) & (F.col("edge_type").isin(*types) if types else F.lit(True))).select("edge_id", "src", "dst")
     if not directed:
         allowed = allowed.unionByName(allowed.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    seen = _cut(seeds.select("id").distinct())
+    seen = stored(seeds.select("id").distinct())
     frontier, steps = seen, None
     for depth in range(1, max_depth + 1):
-        met = _cut(allowed.join(frontier.withColumnRenamed("id", "src"), "src").select("edge_id", "dst").distinct())
+        met = stored(allowed.join(frontier.withColumnRenamed("id", "src"), "src").select("edge_id", "dst").distinct())
         new = met.select("edge_id").distinct().withColumn("depth", F.lit(depth).cast("long"))
         steps = new if steps is None else steps.unionByName(new)
-        frontier = _cut(met.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        frontier = stored(met.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -66,13 +52,13 @@ def communities(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round takes the smallest label among a node, its neighbours and its label's own label, so that long paths
     close in a logarithmic number of rounds."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = _cut(both)
-    label = _cut(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
+    both = stored(both)
+    label = stored(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = label.join(near, "node", "left").join(jump, "label", "left").select("node", F.col("label").alias("old"), F.least("label", "near", "far").alias("label"))
-        step = _cut(step)
+        step = stored(step)
         label = step.select("node", "label")
         if step.where("old != label").isEmpty():
             break
@@ -85,7 +71,7 @@ def bulk_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 def entities(text: Column, owner: Column) -> Column:
     """Entity ids of an episode: its capitalised words and its agent, normalised, sorted."""
-    names = F.concat(F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Za-z0-9_]+\b"), F.lit(0)), F.filter(F.array(owner), lambda x: x != ""))
+    names = F.concat(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9_]+(?![A-Za-z0-9_])"), F.lit(0)), F.filter(F.array(owner), lambda x: x != ""))
     keys = F.transform(names, lambda w: F.lower(F.trim(F.regexp_replace(w, r"[^A-Za-z0-9_]+", " "))))
     return F.array_sort(F.array_distinct(F.transform(F.filter(keys, lambda k: k != ""), lambda k: F.concat(F.lit("ent_"), F.replace(k, F.lit(" "), F.lit("_"))))))
 

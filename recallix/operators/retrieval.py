@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import cosine, fields, fnv1a, inner_product, mixed_tokens, overlap, squared_l2, token_set, word_tokens
+from ..sources.scratch import stored
 
 K_RRF = 60
 
@@ -62,20 +63,47 @@ def sparse_search(terms: DataFrame, query_terms: DataFrame) -> DataFrame:
     return terms.join(q, "term").groupBy("object_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 12).alias("score")).where("score > 0")
 
 
+def sparse_postings(docs: DataFrame, id_col: str, text_col: str, query_terms: DataFrame, buckets: int = 30000) -> DataFrame:
+    """``sparse_terms`` of one request's terms only: each distinct word of the corpus is hashed once, and the words of other
+    terms go where they are read, before anything is counted or shuffled. The words of the request's terms are a share
+    terms / buckets of the vocabulary; they are written, counted, and broadcast up to a million."""
+    low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.col(id_col).alias("object_id"), fields(low).alias("w")).withColumn("n", F.size("w"))
+    distinct = rows.select(F.explode("w").alias("word")).distinct().withColumn("term", fnv1a(F.col("word")) % buckets)
+    # An inner join: a semi join would be pushed below the distinct, and every word hashed where it stands.
+    wanted = stored(distinct.join(F.broadcast(query_terms.select("term").distinct()), "term"), "wanted-words")
+    few = wanted.count() <= 1_000_000
+    met = rows.select("object_id", "n", F.explode("w").alias("word")).join(F.broadcast(wanted) if few else wanted, "word")
+    return met.groupBy("object_id", "term").agg((F.count(F.lit(1)) / F.max("n")).alias("weight"))
+
+
+def write_postings(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 30000, files: int = 64) -> None:
+    """The sparse vectors of a corpus version as postings, sorted by term in ranges, so that a request reads the row groups
+    of its own terms only."""
+    sparse_terms(docs, id_col, text_col, buckets).repartitionByRange(files, "term").sortWithinPartitions("term", "object_id").write.mode("overwrite").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: Sequence[int]) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("term").isin(*terms))
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(object_id, raw, score): BM25 with the number of distinct terms as length; score is raw cut to [0, 1].
 
-    Only postings of the query's terms are kept after counting; documents without one score 0."""
+    A document is read once and leaves its length and the counts of the query's terms, a few numbers, which are dealt
+    out by id: the totals and the scores both read that exchange."""
+    wanted = sorted(set(query))
     tokens = docs.select(F.col(id_col).alias("object_id"), word_tokens(F.col(text_col)).alias("w"))
-    wanted = F.array(*(F.lit(t) for t in sorted(set(query))))
-    counted = tokens.select("object_id", F.greatest(F.size(F.array_distinct("w")), F.lit(1)).alias("dl"), F.filter(F.transform(wanted, lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda x: x == t)).alias("tf"))), lambda s: s["tf"] > 0).alias("hits"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.select("object_id", "dl", F.explode("hits").alias("h")).select("object_id", "dl", "h.term", "h.tf")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("object_id").agg(F.sum(part).alias("raw"))
-    return counted.select("object_id").join(scored, "object_id", "left").select("object_id", F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("raw"), F.round(F.least(F.coalesce("raw", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+    tf = [(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    counted = tokens.select("object_id", F.greatest(F.size(F.array_distinct("w")), F.lit(1)).alias("dl"), *tf).repartition("object_id")
+    here = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))]
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.count("object_id").alias("named"), F.avg("dl").alias("avgdl"), *here)
+    raw = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        raw = raw + F.when(F.col(f"tf{i}") > 0, idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+    scored = counted.crossJoin(F.broadcast(stats)).select("object_id", raw.alias("raw"))
+    return scored.select("object_id", F.round("raw", 6).alias("raw"), F.round(F.least("raw", F.lit(1.0)), 6).alias("score"))
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFrame:
@@ -98,23 +126,31 @@ METRICS = {"ip": (inner_product, False), "l2": (squared_l2, True), "cosine": (co
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", max_query_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, object_id, score, rank): exact nearest neighbours of a query set against all rows.
 
-    Queries are broadcast in blocks of a fixed size, so what is sent has a bound whatever their number; each task
-    multiplies its rows with a block and keeps k for each query before the shuffle. Scores are in double precision."""
-    width = queries.select(F.max(F.size(vec_col))).first()[0] or 1
-    n = queries.count()
+    Queries are sent in blocks of a fixed size, each with a pass over the rows. Where there are several, a block's
+    result is written and the block dropped before the next one is sent, so executors and driver hold one block whatever
+    the number of queries. Each task multiplies its rows with a block and keeps k for each query before the shuffle.
+    Scores are in double precision. Null vectors and vectors of another width than the queries' take no part."""
+    usable = queries.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+    facts = usable.select(F.max(F.size(vec_col)).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    width, n = facts["width"] or 1, facts["n"]
     blocks = max(1, -(-n * width * 8 // max_query_bytes))
+    same = F.size(vec_col) == width
+    base, usable = base.where(same), usable.where(same)
+    if blocks == 1:
+        return top_k_per(_knn_block(base, usable, k, metric, id_col, vec_col)[0], ["query_id"], "score", k)
     out = None
     for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i) if blocks > 1 else queries
-        found = _knn_block(base, part, k, metric, id_col, vec_col)
+        near, sent = _knn_block(base, usable.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i), k, metric, id_col, vec_col)
+        found = stored(top_k_per(near, ["query_id"], "score", k), "knn")
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _knn_block(base: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+def _knn_block(base: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str):
     rows = [(r[0], r[1]) for r in queries.select(id_col, vec_col).collect()]
     ids = np.array([r[0] for r in rows], np.int64)
-    mat = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    mat = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
     sent = base.sparkSession.sparkContext.broadcast((ids, mat))
 
     def run(batches):
@@ -143,8 +179,7 @@ def _knn_block(base: DataFrame, queries: DataFrame, k: int, metric: str, id_col:
             m = best[0].shape[1]
             yield pd.DataFrame({"query_id": np.repeat(q_ids, m), "object_id": best[1].ravel(), "score": best[0].ravel()})
 
-    near = base.select(id_col, vec_col).mapInPandas(run, "query_id long, object_id long, score double")
-    return top_k_per(near, ["query_id"], "score", k)
+    return base.select(id_col, vec_col).mapInPandas(run, "query_id long, object_id long, score double"), sent
 
 
 def knn_columns(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -1,6 +1,7 @@
 """The query façade: a request as data, and the pipeline of DataFrame operators that answers it.
 
-Nothing is executed here: a plan is one lazy DataFrame, so Catalyst sees the whole query."""
+A plan is one lazy DataFrame, so Catalyst sees the whole query; only the sparse channel finds the words of a request's
+terms beforehand."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import lexical_score
 from ..operators import filters as fl
 from ..operators import graph
-from ..operators.retrieval import final_scores, fuse_rrf, mark_seeds, sparse_search, sparse_terms, top_k
+from ..operators.retrieval import final_scores, fuse_rrf, mark_seeds, sparse_postings, sparse_search, sparse_terms, top_k
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ def lexical_channel(docs: DataFrame, query: str, k: int) -> DataFrame:
 def sparse_channel(docs: DataFrame, query: str, k: int) -> DataFrame:
     spark = docs.sparkSession
     asked = sparse_terms(spark.createDataFrame([("q", query)], "memory_id string, content string"), "memory_id", "content")
-    return top_k(sparse_search(sparse_terms(docs, "memory_id", "content"), F.broadcast(asked)), "score", k)
+    return top_k(sparse_search(sparse_postings(docs, "memory_id", "content", asked), F.broadcast(asked)), "score", k)
 
 
 def plan(request: QueryRequest, docs: DataFrame, edges: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
+
 #: One event of the log; legacy flat fields are read as they are, missing ones are null.
 EVENT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("event_id", "tenant_id", "workspace_id", "agent_id", "session_id", "event_type", "event_time", "ingest_time", "visible_time", "parent_event_id", "source", "visibility")]
@@ -62,9 +64,11 @@ def assemble_documents(parts: DataFrame) -> DataFrame:
 
 def with_lsn(events: DataFrame, start: int, order: list[str]) -> DataFrame:
     """Log sequence numbers from ``start`` + 1 in the given order, without a window over all rows: rows are sorted in
-    ranges, and each range starts after the counts of those before it. The ranges' counts are few, one a partition."""
+    ranges, and each range starts after the counts of those before it. The ranges are written once, with each row's
+    range and place in it, so that counts and rows speak of the same ranges whatever is computed again. The ranges'
+    counts are few, one a partition."""
     part, row = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = events.orderBy(*order).withColumns({"_part": part, "_row": row})
+    ranged = stored(events.orderBy(*order).withColumns({"_part": part, "_row": row}), "log-ranges")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return ranged.join(F.broadcast(base), "_part").withColumn("lsn", F.col("_row") + F.col("_base") + 1 + start).drop("_part", "_row", "_base")

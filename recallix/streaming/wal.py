@@ -5,16 +5,14 @@ The visible watermark is a prefix of sequence numbers, not an event-time bound:
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import materialize as mz
 
 
-def project(events: DataFrame, checkpoint: str, out: str, accept: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def project(events: DataFrame, checkpoint: str, out: str, accept: Column | None = None) -> StreamingQuery:
     """Write memories' edges and states of each micro-batch under ``out``, rejected rows to a dead-letter table.
 
     Replays are dropped by event id inside a batch and against what is there already (an anti join), so a batch that
@@ -22,9 +20,9 @@ def project(events: DataFrame, checkpoint: str, out: str, accept: Callable[[Data
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        df = df.dropDuplicates(["event_id"])
-        good = accept(df) if accept else df.where("event_id is not null and event_type is not null")
-        bad = df.join(good.select("event_id"), "event_id", "left_anti")
+        # Rejected rows are split off first: rows without an id, or several under one, all reach the dead letters.
+        ok = F.coalesce(accept if accept is not None else F.col("event_id").isNotNull() & F.col("event_type").isNotNull(), F.lit(False))
+        good, bad = df.where(ok).dropDuplicates(["event_id"]), df.where(~ok)
         earlier = _batches(spark, f"{out}/events", number)
         if earlier is not None:
             good = good.join(earlier.select("event_id"), "event_id", "left_anti")

@@ -51,7 +51,7 @@ def sparse_terms(docs: DataFrame, id_col: str, text_col: str, buckets: int = 300
 
     Each distinct word is hashed once, after words were counted inside each document."""
     low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.col(id_col).alias("object_id"), fields(low).alias("w")).withColumn("n", F.size("w")).select("object_id", "n", F.explode("w").alias("word"))
+    words = docs.select(F.col(id_col).alias("object_id"), fields(low).alias("w")).withColumn("n", F.size("w")).select("object_id", "n", F.explode_outer("w").alias("word")).where("word is not null")
     counted = words.groupBy("object_id", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
     hashed = counted.join(counted.select("word").distinct().withColumn("term", fnv1a(F.col("word")) % buckets), "word")
     return hashed.groupBy("object_id", "term").agg((F.sum("tf") / F.max("n")).alias("weight"))
@@ -69,11 +69,12 @@ def sparse_postings(docs: DataFrame, id_col: str, text_col: str, query_terms: Da
     terms / buckets of the vocabulary; they are written, counted, and broadcast up to a million."""
     low = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.col(id_col).alias("object_id"), fields(low).alias("w")).withColumn("n", F.size("w"))
-    distinct = rows.select(F.explode("w").alias("word")).distinct().withColumn("term", fnv1a(F.col("word")) % buckets)
-    # An inner join: a semi join would be pushed below the distinct, and every word hashed where it stands.
+    # An inner join on a term that can't be null: a semi join, or a filter for nulls, would be pushed below the distinct and
+    # hash every word where it stands. explode_outer, as explode adds a filter that splits each text again.
+    distinct = rows.select(F.explode_outer("w").alias("word")).where("word is not null").distinct().withColumn("term", F.coalesce(fnv1a(F.col("word")) % buckets, F.lit(-1)))
     wanted = stored(distinct.join(F.broadcast(query_terms.select("term").distinct()), "term"), "wanted-words")
     few = wanted.count() <= 1_000_000
-    met = rows.select("object_id", "n", F.explode("w").alias("word")).join(F.broadcast(wanted) if few else wanted, "word")
+    met = rows.select("object_id", "n", F.explode_outer("w").alias("word")).join(F.broadcast(wanted) if few else wanted, "word")
     return met.groupBy("object_id", "term").agg((F.count(F.lit(1)) / F.max("n")).alias("weight"))
 
 
@@ -111,7 +112,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, dim: int = 256) -> DataFr
 
     The buckets of all documents are counted map-side; N counts documents with a token."""
     words = docs.select(F.col(id_col).alias("object_id"), mixed_tokens(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    counted = words.withColumn("n", F.size("w")).select("object_id", "n", F.explode("w").alias("word")).groupBy("object_id", "n", "word").agg(F.count(F.lit(1)).alias("c"))
+    counted = words.withColumn("n", F.size("w")).select("object_id", "n", F.explode_outer("w").alias("word")).where("word is not null").groupBy("object_id", "n", "word").agg(F.count(F.lit(1)).alias("c"))
     hashed = counted.join(counted.select("word").distinct().withColumn("bucket", fnv1a(F.col("word")) % dim), "word")
     tf = hashed.groupBy("object_id", "bucket").agg((F.sum("c") / F.max("n")).alias("tf"))
     df = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))

@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,17 @@ def parse(page: str | None) -> list[dict]:
     return [{"pos": i} | x for i, x in enumerate(p.items)]
 
 
+def _parts(batch: pa.RecordBatch, rows: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows, whose last columns have ``size`` bytes together unless one row has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        room = (ends[start - 1] if start else 0) + size
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, room, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(id, items) of every page: an array of ``ITEM``. Null and empty pages have no items; repeated rows repeat."""
     importable(pages.sparkSession)
@@ -107,8 +119,7 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for part in _parts(b, 1000):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse(x) for x in part.column(1).to_pylist()], kind)], ["id", "items"])
 
     return pages.select(col(id_col).alias("id"), col(html_col).cast("string").alias("html")).mapInArrow(run, f"id {pages.schema[id_col].dataType.simpleString()}, items array<{ITEM}>")
@@ -149,30 +160,54 @@ def _payload(data: bytes) -> bytes:
     return data + bytes(max(1, -(-len(data) // WIDTH)) * WIDTH - len(data))
 
 
-def store_documents(docs: DataFrame, id_col: str, text_col: str) -> Table:
-    """(id, html, digest, media): each text as a page that refers to its payload, beside the payload as an image.
+def _image(text: str | None) -> tuple[int, str, bytes]:
+    """A whole text's bytes (their number), and the digest and the image of the payload made of them."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    image = encode(_payload(data))
+    return len(data), hashlib.sha256(image).hexdigest(), image
+
 
-    Written where rows are read, without a shuffle. Of equal payloads in one batch only the first is kept."""
+def page(text: str | None) -> str:
+    """A whole text as HTML: a paragraph for each line that has words, and after the first half of them (the larger one)
+    a figure that refers to the payload. The caption tells what the payload is, in few words for any text."""
+    size, digest, _ = _image(text)
+    lines = [f"<p>{html.escape(x)}</p>" for x in (text or "").split("\n") if x.strip()]
+    figure = f'<figure><img src="sha256:{digest}" data-bytes="{size}"><figcaption>{len(lines)} lines, {size} bytes</figcaption></figure>'
+    half = (len(lines) + 1) // 2
+    return f"<article>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</article>"
+
+
+def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, html) of every document: see ``page``. Pages are made as they are read, not stored."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                pages, digests, images, seen = [], [], [], set()
-                for text in part.column(1).to_pylist():
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    image = encode(_payload(data))
-                    digest = hashlib.sha256(image).hexdigest()
-                    line = html.escape((text or "")[:80].split("\n")[0])
-                    pages.append(f'<article><p>{line}</p><figure><img src="sha256:{digest}" data-bytes="{len(data)}"><figcaption>{line}</figcaption></figure></article>')
-                    digests.append(digest)
-                    images.append(None if digest in seen else image)
-                    seen.add(digest)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages), pa.array(digests), pa.array(images, pa.binary())], ["id", "html", "digest", "media"])
+            for part in _parts(b, 500):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([page(x) for x in part.column(1).to_pylist()], pa.string())], ["id", "html"])
 
     source = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return Table(source.mapInArrow(run, "id long, html string, digest string, media binary"), "media")
+    return source.mapInArrow(run, "id long, html string")
+
+
+def store_documents(docs: DataFrame, text_col: str) -> Table:
+    """(digest, media): the payloads of all texts as images, written where rows are read, without a shuffle. Of equal
+    payloads in one batch only the first is kept."""
+    importable(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[str] = set()
+            for part in _parts(b, 500):
+                new = {}
+                for text in part.column(0).to_pylist():
+                    _, digest, image = _image(text)
+                    if digest not in seen:
+                        new[digest] = image
+                        seen.add(digest)
+                yield pa.RecordBatch.from_arrays([pa.array(new.keys(), pa.string()), pa.array(new.values(), pa.binary())], ["digest", "media"])
+
+    return Table(docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, media binary"), "media")
 
 
 def payload_facts(store: DataFrame) -> DataFrame:
@@ -194,7 +229,7 @@ def payload_facts(store: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
-    facts = store.where("media is not null").select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    facts = store.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return facts.dropDuplicates(names)
 
 
@@ -205,7 +240,7 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have 0 bytes and a payload of 64 zeros. Equal texts have equal payloads, stored under one
     digest; repeated rows repeat; rows without an id stay; an empty table gives no rows; other columns play no part.
     """
-    table = store_documents(docs, id_col, text_col).df
-    seq = sequences(table, "id", "html")
-    rows = resolve(seq, payload_facts(table))
+    store = store_documents(docs, text_col).df
+    seq = sequences(document_pages(docs, id_col, text_col), "id", "html")
+    rows = resolve(seq, payload_facts(store))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")

@@ -227,6 +227,20 @@ def test_media_round_trip(spark, awkward, empty):
     assert media.document_media(empty).count() == 0
 
 
+def test_pages_of_documents_hold_whole_texts(spark, awkward, empty):
+    lines = lambda t: [" ".join(x.split()) for x in (t or "").split("\n") if x.strip()]
+    rows = awkward.select("doc_id", "text").collect() + [(77, "one <b> & two\n\n \nthree &amp; four\n" + "five " * 30000), (78, "\n" * 9)]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    got = Counter()
+    for r in media.sequences(media.document_pages(docs), "id", "html").collect():
+        at = [i["pos"] for i in r["items"] if i["kind"] == "media"]
+        assert at == [len(r["items"]) // 2] and [i["pos"] for i in r["items"]] == list(range(len(r["items"])))
+        got[r["id"], tuple(i["text"] for i in r["items"] if i["kind"] == "text"), r["items"][at[0]]["caption"]] += 1
+    assert got == Counter((i, tuple(lines(t)), f"{len(lines(t))} lines, {len((t or '').encode())} bytes") for i, t in rows)
+    assert media.document_pages(empty).count() == 0
+    assert {r["pos"] for r in media.document_media(docs.where("doc_id in (77, 78)")).collect()} == {2, 0}
+
+
 def test_pages_keep_positions_and_captions(spark):
     page = "<html><head><title>T</title><style>p{}</style><script>var x='<p>no</p>'</script></head><body>Hi <b>there</b>&amp;<p>Two<img src='sha256:aa' alt='A'>after<figure><img src='sha256:bb' data-bytes='7'><figcaption>Cap <i>tion</i></figcaption></figure><img src='http://x/y.png'/>end"
     df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<p>un<b>closed")], "page_id long, html string")

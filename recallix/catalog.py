@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import registry
 
-for _name in ("q_objects", "q_filters", "q_joins", "q_retrieval", "q_aggregates", "q_graph", "q_algorithms", "q_streaming", "q_more", "q_sinks"):
+for _name in ("q_objects", "q_filters", "q_joins", "q_retrieval", "q_aggregates", "q_graph", "q_algorithms", "q_streaming", "q_more", "q_sinks", "q_tiers"):
     import_module(f"recallix.plans.{_name}")
 
 

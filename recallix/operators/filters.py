@@ -125,13 +125,48 @@ def verified(policy: DataFrame) -> DataFrame:
     return policy.groupBy("object_id").agg(F.min_by(said, F.when(said.isNotNull(), F.col("seq"))).alias("s")).select("object_id", F.coalesce(F.col("s") == "verified", F.lit(True)).alias("verified"))
 
 
+def lists_allow(agents: Column, roles: Column, acl: Column, agent: Column, own_roles: Column) -> Column:
+    """A share contract's lists or its access string (tokens *, an id, agent:ID, role:NAME) let a principal in; a blank
+    agent is in by * only."""
+    tokens = F.filter(F.split(acl, r"[,; \t\n]"), lambda t: t != "")
+    named = agent != ""
+    by_token = F.exists(tokens, lambda t: (t == "*") | (named & ((t == agent) | (t == F.concat(F.lit("agent:"), agent)))) | (t.startswith("role:") & F.array_contains(own_roles, F.substring(t, 6, 1 << 20))))
+    listed = F.exists(agents, lambda a: (a == "*") | (named & (a == agent)))
+    return listed | F.arrays_overlap(roles, own_roles) | by_token
+
+
 def contract_allows(agents: Column, roles: Column, acl: Column, agent_id: str, own_roles: Sequence[str]) -> Column:
-    """A share contract's lists or its access string (tokens *, an id, agent:ID, role:NAME) let a principal in."""
+    """``lists_allow`` for one principal."""
     mine = F.array(*(F.lit(r) for r in own_roles)) if own_roles else F.array().cast("array<string>")
-    tokens = F.filter(F.split(acl, r"[,; \t\n]"), lambda t: t != "")
-    by_token = F.exists(tokens, lambda t: (t == "*") | (F.lit(agent_id != "") & ((t == agent_id) | (t == f"agent:{agent_id}"))) | (t.startswith("role:") & F.array_contains(mine, F.substring(t, 6, 1 << 20))))
-    listed = F.exists(agents, lambda a: (a == "*") | (F.lit(agent_id != "") & (a == agent_id)))
-    return listed | F.arrays_overlap(roles, mine) | by_token
+    return lists_allow(agents, roles, acl, F.lit(agent_id), mine)
+
+
+def share_requests(requests: DataFrame, contracts: DataFrame, agents: DataFrame) -> DataFrame:
+    """Requests (memory_id, owner, workspace_id, from_agent, to_agent, contract_id) with their outcome and the id of the
+    memory that the receiver gets (null unless shared).
+
+    In this order: a blank id, someone else's memory, a receiver that has it already; then, with a contract, whether it is
+    known, meets the memory's workspace, lets the giver derive and lets the receiver read. Contracts and agents (agent_id,
+    role) have one row for each id."""
+    own = contracts.select(F.col("contract_id").alias("_id"), F.col("workspace_id").alias("_ws"), *(F.col(f"{op}_{x}").alias(f"_{op}_{x}") for op in ("derive", "read") for x in ("agents", "roles", "acl")))
+    role = lambda name: agents.select(F.col("agent_id").alias(f"_{name}"), F.array("role").alias(f"_{name}_roles"))
+    met = requests.join(own, F.col("contract_id") == F.col("_id"), "left").join(role("from"), F.col("from_agent") == F.col("_from"), "left").join(role("to"), F.col("to_agent") == F.col("_to"), "left")
+    none = F.array().cast("array<string>")
+    may = lambda op, who: F.coalesce(lists_allow(F.col(f"_{op}_agents"), F.col(f"_{op}_roles"), F.col(f"_{op}_acl"), F.trim(f"{who}_agent"), F.coalesce(f"_{who}_roles", none)), F.lit(False))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    outcome = (
+        F.when(blank("memory_id") | blank("from_agent") | blank("to_agent"), "invalid")
+        .when(~blank("owner") & (F.col("owner") != F.trim("from_agent")), "not_owner")
+        .when(F.trim("from_agent") == F.trim("to_agent"), "no_op")
+        .when(blank("contract_id"), "shared")
+        .when(F.col("_id").isNull(), "contract_not_found")
+        .when(~blank("_ws") & ~F.col("_ws").eqNullSafe(F.col("workspace_id")), "other_scope")
+        .when(~may("derive", "from"), "derive_denied")
+        .when(~may("read", "to"), "read_denied")
+        .otherwise("shared")
+    )
+    shared_id = F.when(F.col("outcome") == "shared", F.concat(F.lit("shared_"), "memory_id", F.lit("_to_"), F.trim("to_agent")))
+    return met.withColumn("outcome", outcome).withColumn("shared_id", shared_id).select(*requests.columns, "outcome", "shared_id")
 
 
 def access_reason(agent_id: str, roles: Sequence[str], tenant: str, workspace: str, session: str, watermark: int) -> Column:

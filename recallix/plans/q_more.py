@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as fl
 from ..operators import materialize as mz
-from ..operators.retrieval import fuse_rrf, tfidf, top_k, top_k_per
-from .fixtures import NOW, QUERY
-from .planner import lexical_channel
+from ..operators.retrieval import tfidf, top_k, top_k_per
+from .fixtures import NOW
 from .q_filters import now
 from .q_objects import _STATE
-from .q_retrieval import _SPARSE, _TFIDF
+from .q_retrieval import _TFIDF
 from .registry import query
 
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -54,17 +53,6 @@ def r12(t):
     return knn(t.embeddings, t.embeddings, 3, "cosine").select("query_id", "object_id", "rank")
 
 
-@query("r7_cold_candidates", "SELECT object_id, score FROM lx WHERE score > 0 ORDER BY score DESC, object_id LIMIT 100", _SPARSE)
-def r7(t):
-    """All pages are scored, so there is no early stop that could lose a candidate."""
-    return lexical_channel(t.doc, QUERY, 100).select("object_id", "score")
-
-
-@query("e5_embedding_provenance", "SELECT object_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf, 'tfidf' AS family, 256 AS dim FROM (SELECT * FROM lr) GROUP BY object_id", _SPARSE)
-def e5(t):
-    return fuse_rrf([lexical_channel(t.doc, QUERY, 30)]).withColumns({"family": F.lit("tfidf"), "dim": F.lit(256)})
-
-
 @query("x1_reindex_embeddings", "SELECT memory_id, count(*) AS buckets, round(sum(w * w), 4) AS norm FROM (SELECT memory_id, round(v / sqrt(sum(v * v) OVER (PARTITION BY memory_id)), 6) AS w FROM vv) GROUP BY memory_id", _TFIDF)
 def x1(t):
     return tfidf(t.doc, "memory_id", "content").groupBy(F.col("object_id").alias("memory_id")).agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("norm"))
@@ -142,6 +130,31 @@ def b22(t):
     return own.select(F.concat(F.lit("shared_"), "memory_id", F.lit("_agent_1")).alias("memory_id"), F.lit("agent_1").alias("agent_id"), F.lit("restricted_shared").alias("visibility"))
 
 
+def _in_lists(agents: str, roles: str, acl: str, agent: str, role: str) -> str:
+    tokens = f"regexp_split_to_array({acl}, '[,; \\t\\n]')"
+    return f"(list_contains({agents}, '*') OR list_contains({agents}, {agent}) OR coalesce(list_contains({roles}, {role}), false) OR list_contains({tokens}, '*') OR list_contains({tokens}, {agent}) OR list_contains({tokens}, 'agent:' || {agent}) OR coalesce(list_contains({tokens}, 'role:' || {role}), false))"
+
+
+_SHARES = f"""ct AS (SELECT *, CAST(substr(contract_id, 10) AS BIGINT) AS c FROM contract),
+ask AS (SELECT memory_id, agent_id AS owner, workspace_id, CASE WHEN n % 6 = 0 THEN 'agent_0' ELSE agent_id END AS from_agent, CASE WHEN n % 11 = 0 THEN agent_id ELSE 'agent_' || (n * 7 % 150) END AS to_agent, CASE WHEN n % 4 = 0 THEN '' ELSE 'contract_' || (n % 27) END AS asked FROM memory),
+sh AS (SELECT a.*, CASE WHEN owner <> '' AND owner <> from_agent THEN 'not_owner' WHEN from_agent = to_agent THEN 'no_op' WHEN asked = '' THEN 'shared' WHEN contract_id IS NULL THEN 'contract_not_found' WHEN ct.workspace_id <> '' AND ct.workspace_id <> a.workspace_id THEN 'other_scope'
+  WHEN NOT {_in_lists("['agent_' || (c + 1)]", "[CASE WHEN c % 4 < 2 THEN 'building' ELSE 'household' END]", "CASE WHEN c % 3 = 1 THEN '*' ELSE '' END", "from_agent", "f.role")} THEN 'derive_denied'
+  WHEN NOT {_in_lists("read_agents", "read_roles", "read_acl", "to_agent", "g.role")} THEN 'read_denied' ELSE 'shared' END AS outcome
+  FROM ask a LEFT JOIN ct ON asked = contract_id LEFT JOIN agent f ON f.agent_id = from_agent LEFT JOIN agent g ON g.agent_id = to_agent)"""
+
+
+@query("b23_share_with_contract", "SELECT memory_id, to_agent, outcome, CASE WHEN outcome = 'shared' THEN 'shared_' || memory_id || '_to_' || to_agent END AS shared_id FROM sh", _SHARES)
+def b23(t):
+    """One request for each memory, some without a contract, with an unknown one, by another agent, or to the owner."""
+    n, c = F.col("n"), F.substring("contract_id", 10, 20).cast("long")
+    requests = t.memory.select(
+        "memory_id", F.col("agent_id").alias("owner"), "workspace_id", F.when(n % 6 == 0, "agent_0").otherwise(F.col("agent_id")).alias("from_agent"),
+        F.when(n % 11 == 0, F.col("agent_id")).otherwise(F.concat(F.lit("agent_"), n * 7 % 150)).alias("to_agent"), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("contract_"), n % 27)).alias("contract_id"),
+    )
+    derive = {"derive_agents": F.array(F.concat(F.lit("agent_"), c + 1)), "derive_roles": F.array(F.when(c % 4 < 2, "building").otherwise("household")), "derive_acl": F.when(c % 3 == 1, "*").otherwise("")}
+    return fl.share_requests(requests, t.contract.withColumns(derive), t.agent).select("memory_id", "to_agent", "outcome", "shared_id")
+
+
 @query("b25_extract", "SELECT memory_id, 0 AS level, memory_type, md5(content) AS content_md5 FROM memory")
 def b25(t):
     return t.ev.select(F.concat(F.lit("mem_"), "event_id").alias("memory_id"), F.lit(0).alias("level"), mz.memory_type(F.col("payload_memory_type"), F.col("event_type")).alias("memory_type"), F.md5("text").alias("content_md5"))
@@ -151,5 +164,3 @@ def b25(t):
 def b26(t):
     scored = t.memory.where("is_active").withColumn("score", F.round(F.col("confidence") * F.col("importance") + 1e-9, 6))
     return top_k_per(scored, ["agent_id"], "score", 5, "memory_id").select("agent_id", "memory_id", "rank")
-
-

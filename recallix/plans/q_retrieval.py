@@ -146,32 +146,12 @@ def _tiers(t):
     return rt.top_k_per(t.memory.select(F.col("memory_id").alias("object_id"), tier.alias("tier"), "confidence"), ["tier"], "confidence", 25)
 
 
-@query("r20_rrf_tiers", "SELECT object_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf FROM tk GROUP BY object_id", _TIER)
-def r20(t):
-    tk = _tiers(t)
-    return rt.fuse_rrf([tk.where(F.col("tier") == x) for x in ("hot", "warm", "cold")])
-
-
 @query("r21_merge_outputs", "SELECT object_id, row_number() OVER (ORDER BY tier, rank, object_id) AS place FROM (SELECT * FROM tk WHERE tier IN ('cold', 'hot')) QUALIFY place <= 40", _TIER)
 def r21(t):
     tk = _tiers(t)
     return rt.merge_ordered(tk.where("tier = 'cold'"), tk.where("tier = 'hot'"), 40)
 
 
-@query("r22_tiered_search", "SELECT object_id, tier, rank FROM tk WHERE tier = 'hot' OR (SELECT count(*) FROM tk WHERE tier = 'hot') < 25", _TIER)
-def r22(t):
-    tk = _tiers(t)
-    enough = tk.where("tier = 'hot'").agg((F.count(F.lit(1)) >= 25).alias("enough"))
-    return tk.crossJoin(F.broadcast(enough)).where((F.col("tier") == "hot") | ~F.col("enough")).select("object_id", "tier", "rank")
-
-
-@query("r23_cold_fallback", "SELECT object_id, rank FROM tk WHERE tier = CASE WHEN EXISTS (SELECT 1 FROM tk WHERE tier = 'cold') THEN 'cold' ELSE 'warm' END", _TIER)
-def r23(t):
-    tk = _tiers(t)
-    some = tk.agg(F.coalesce(F.max(F.col("tier") == "cold"), F.lit(False)).alias("some"))
-    return tk.crossJoin(F.broadcast(some)).where(F.col("tier") == F.when(F.col("some"), "cold").otherwise("warm")).select("object_id", "rank")
-
-
 @query("r24_hybrid_search", "SELECT object_id, rrf, row_number() OVER (ORDER BY rrf DESC, object_id) AS rank FROM fu QUALIFY rank <= 15", _SPARSE)
 def r24(t):
     return rt.top_k(rt.fuse_rrf([lexical_channel(t.doc, QUERY, 30), sparse_channel(t.doc, QUERY, 30)]), "rrf", 15)
@@ -232,7 +212,16 @@ def r33(t):
     return rt.fuse_rrf([lexical_channel(t.doc, QUERY, 30), sparse_channel(t.doc, QUERY, 30), bm])
 
 
-@query("r34_mmr")
+_COSINE = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0"
+_BITS = "list_filter(range(1, 65), lambda i: CAST(b.embedding AS DOUBLE[])[i] > 0.1)"
+_MMR = f"""mh AS (SELECT a.vec_id AS query_id, b.vec_id AS object_id, {_COSINE} AS score, {_BITS} AS tokens, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE} DESC, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY n <= 30),
+mo AS (SELECT x.query_id, x.n AS i, list(CASE WHEN len(x.tokens) = 0 OR len(y.tokens) = 0 THEN 0 ELSE len(list_intersect(x.tokens, y.tokens)) / greatest(len(x.tokens), len(y.tokens))::DOUBLE END ORDER BY y.n) AS shared FROM mh x JOIN mh y ON x.query_id = y.query_id GROUP BY ALL),
+mc AS (SELECT mh.query_id, list(object_id ORDER BY n) AS ids, list(score ORDER BY n) AS scores, list(shared ORDER BY n) AS shared FROM mh JOIN mo ON mh.query_id = mo.query_id AND n = i GROUP BY mh.query_id),
+mr AS (SELECT query_id, CAST([] AS BIGINT[]) AS chosen FROM mc
+  UNION ALL SELECT query_id, list_append(chosen, list_position(v, list_max(v))) FROM (SELECT mr.query_id, chosen, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE round(0.7::DOUBLE * scores[i] - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda j: shared[i][j])), 0), 12) END) AS v FROM mr JOIN mc ON mr.query_id = mc.query_id WHERE len(chosen) < least(10, len(ids))))"""
+
+
+@query("r34_mmr", "SELECT query_id, ids[chosen[-1]] AS object_id, len(chosen) AS place FROM mr JOIN mc USING (query_id) WHERE len(chosen) > 0", _MMR)
 def r34(t):
     hits = rt.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0"), 30, "cosine")
     tokens = t.embeddings.select(F.col("vec_id").alias("object_id"), F.transform(F.filter(F.transform("embedding", lambda x, i: F.when(x > 0.1, i)), lambda i: i.isNotNull()), lambda i: i.cast("string")).alias("tokens"))

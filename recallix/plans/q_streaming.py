@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
 from ..streaming import wal
 from .registry import query
 
@@ -24,6 +25,29 @@ def t5(t):
     return twice.groupBy("event_id").agg(F.min("lsn").alias("lsn"))
 
 
+@query("t6_every_tenth_state", "SELECT agent_id, unnest(range(10, n + 1, 10)) AS at FROM (SELECT agent_id, count(*) AS n FROM ev GROUP BY agent_id)")
+def t6(t):
+    """The log as a stream; each agent's count is state that outlives a micro-batch."""
+    source, out = new_path(t.spark, "counted-log"), new_path(t.spark, "marks")
+    t.ev.select("agent_id", "lsn").write.parquet(source)
+    stream = t.spark.readStream.schema("agent_id string, lsn long").option("maxFilesPerTrigger", 16).parquet(source)
+    marks = wal.every_nth(stream, 10).writeStream.format("parquet").outputMode("append")
+    marks.option("path", out).option("checkpointLocation", new_path(t.spark, "marks-state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("agent_id string, at long").parquet(out)
+
+
+@query("t7_retry_dead_letters", "SELECT event_id, least(k % 5 + 1, 3) AS attempts, CASE WHEN k % 5 < 3 THEN 'visible' ELSE 'dead_letter' END AS outcome FROM ev")
+def t7(t):
+    """Projections that fail up to four times, of which three are tried."""
+    done = wal.project_with_retry(t.ev.select("event_id", "k"), lambda rows, n: rows.withColumn("ok", F.col("k") % 5 < n), 3, 0.01)
+    return done.select("event_id", "attempts", "outcome")
+
+
+@query("t9_micro_batches", "SELECT (lsn - 1) // 32 AS batch, count(*) AS n, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM ev GROUP BY batch")
+def t9(t):
+    return wal.micro_batches(t.ev.select("lsn"))
+
+
 @query("t8_shard_keys", "SELECT CAST(crc32_shard AS BIGINT) AS shard, count(*) AS n FROM (SELECT CAST('0x' || substr(md5(tenant_id || '|' || agent_id || '|' || session_id), 1, 8) AS BIGINT) % 16 AS crc32_shard FROM ev) GROUP BY 1")
 def t8(t):
     shard = F.conv(F.substring(F.md5(F.concat_ws("|", "tenant_id", "agent_id", "session_id")), 1, 8), 16, 10).cast("long") % 16

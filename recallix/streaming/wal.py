@@ -5,11 +5,15 @@ The visible watermark is a prefix of sequence numbers, not an event-time bound:
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import materialize as mz
+from ..sources.scratch import stored
 
 
 def project(events: DataFrame, checkpoint: str, out: str, accept: Column | None = None) -> StreamingQuery:
@@ -96,3 +100,29 @@ def every_nth(events: DataFrame, n: int = 10) -> DataFrame:
         yield pd.DataFrame({"agent_id": [key[0]] * len(marks), "at": marks})
 
     return events.groupBy("agent_id").applyInPandasWithState(step, "agent_id string, at long", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def project_with_retry(rows: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], attempts: int = 3, delay: float = 0.1, longest: float = 5.0) -> DataFrame:
+    """The rows with the number of the attempt that settled them and whether it ended ``visible`` or as a ``dead_letter``.
+
+    ``attempt`` gets the rows still open and the attempt's number, and returns them with a column ok; each attempt's
+    outcome is a table, so rows that went through aren't tried again when an executor is lost. The wait doubles
+    after each attempt, up to ``longest`` seconds. An ok that is null counts as failed; no rows give no rows."""
+    out, columns = None, rows.columns
+    for n in range(1, attempts + 1):
+        tried = stored(attempt(rows, n).withColumn("ok", F.coalesce("ok", F.lit(False))), "attempt")
+        last = n == attempts
+        settled = (tried if last else tried.where("ok")).select(*columns, F.lit(n).cast("long").alias("attempts"), F.when(F.col("ok"), "visible").otherwise("dead_letter").alias("outcome"))
+        out = settled if out is None else out.unionByName(settled)
+        rows = tried.where(~F.col("ok")).select(*columns)
+        if last or rows.isEmpty():
+            return out
+        time.sleep(min(longest, delay * 2 ** (n - 1)))
+    return out
+
+
+def micro_batches(log: DataFrame, size: int = 32) -> DataFrame:
+    """(batch, n, first_lsn, last_lsn): a gapless log cut into batches of ``size`` entries from its first one; the last
+    batch holds what was there when the queue was flushed."""
+    batch = F.floor((F.col("lsn") - 1) / size).cast("long")
+    return log.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallix.functions import columns as fc
+from recallix.operators import filters as fl
 from recallix.operators import graph, retrieval
 from recallix.operators import materialize as mz
 from recallix.operators import memory_algorithms as ma
+from recallix.plans import tiers
 from recallix.plans.fixtures import Tables
 from recallix.plans.planner import QueryRequest, plan
 from recallix.sources import files
@@ -201,3 +203,38 @@ def test_scan_reads_only_what_it_needs(spark, folder):
     t = Tables(spark, folder)
     text = t.raw("lineitem").where("l_quantity > 45").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in text and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text
+
+
+def test_retries_settle_every_row_once(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 3), (3, 9), (3, 9), (4, None)], "id int, works_at int")
+    calls = []
+
+    def attempt(open_rows, n):
+        calls.append(open_rows.count())
+        return open_rows.withColumn("ok", F.col("works_at") <= n)
+
+    got = sorted(tuple(r) for r in wal.project_with_retry(rows, attempt, 3, 0).select("id", "attempts", "outcome").collect())
+    assert got == [(1, 1, "visible"), (2, 3, "visible"), (3, 3, "dead_letter"), (3, 3, "dead_letter"), (4, 3, "dead_letter")] and calls == [5, 4, 4]
+    assert wal.project_with_retry(rows.where("id = 1"), attempt, 3, 0).count() == 1 and wal.project_with_retry(rows.limit(0), attempt, 3, 0).count() == 0
+
+
+def test_shares_need_owner_and_contract(spark):
+    contracts = spark.createDataFrame([("c1", "w1", ["a"], [], "", [], ["reader"], ""), ("c2", "", [], [], "agent:a", [], [], "*")], "contract_id string, workspace_id string, derive_agents array<string>, derive_roles array<string>, derive_acl string, read_agents array<string>, read_roles array<string>, read_acl string")
+    agents = spark.createDataFrame([("b", "reader"), ("c", "writer")], "agent_id string, role string")
+    asked = [("m", "a", "w1", "a", "b", "c1", "shared"), ("m", "a", "w1", "a", "c", "c1", "read_denied"), ("m", "a", "w2", "a", "b", "c1", "other_scope"), ("m", "a", None, "a", "b", "c1", "other_scope"), ("m", "z", "w1", "a", "b", "c1", "not_owner"), ("m", "a", "w1", "a", "a", "c9", "no_op"), ("m", "a", "w1", "a", "b", "c9", "contract_not_found"), ("m", "", "w1", "z", "c", "c2", "derive_denied"), ("m", None, "", "a", "z", "c2", "shared"), ("m", "a", "", "a", "z", None, "shared"), ("m", "a", "", "a", " ", "", "invalid"), (None, "a", "", "a", "b", "", "invalid")]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(asked)], "i int, memory_id string, owner string, workspace_id string, from_agent string, to_agent string, contract_id string, want string")
+    got = fl.share_requests(rows, contracts, agents).orderBy("i").collect()
+    assert [r["outcome"] for r in got] == [r[-1] for r in asked]
+    assert [r["shared_id"] for r in got if r["outcome"] == "shared"] == ["shared_m_to_b", "shared_m_to_z", "shared_m_to_z"]
+
+
+def test_tiers(spark):
+    docs = spark.createDataFrame([("h1", "alpha beta", "", 1, "hot"), ("h2", "alpha", "", 1, "hot"), ("w1", "alpha beta", "", 1, "warm"), ("c1", "beta", "alpha beta", 5, "cold"), ("c2", "alpha", "", 10, "cold"), ("c3", None, None, 3, "cold")], "memory_id string, content string, summary string, version int, tier string")
+    ids = lambda df: [r["object_id"] for r in df.orderBy("rank").collect()]
+    assert ids(tiers.tiered_search(docs, "alpha beta", 2)) == ["h1", "h2"]
+    assert ids(tiers.tiered_search(docs, "alpha beta", 2, True)) == ["h1", "h2"]
+    assert set(ids(tiers.tiered_search(docs, "alpha beta", 3))) == {"h1", "h2", "w1"}
+    assert set(ids(tiers.tiered_search(docs, "alpha beta", 9, True))) == {"h1", "h2", "w1", "c1", "c2"}
+    cold = docs.where("tier = 'cold'")
+    assert [(r["object_id"], r["lexical"], r["recency"], r["score"]) for r in tiers.cold_candidates(cold, "alpha beta", 9).collect()] == [("c1", 1.0, 0.5, 1.05), ("c2", 0.5, 1.0, 0.6)]
+    assert ids(tiers.cold_candidates(cold, " ", 9)) == ["c2", "c1", "c3"] and tiers.cold_candidates(cold.limit(0), "alpha", 9).count() == 0

@@ -163,3 +163,21 @@ def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 400, s
     n = F.length(text_col)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1 - (size - step), F.lit(0)), F.lit(step)))
     return docs.select(F.col(id_col), F.posexplode(starts).alias("chunk_no", "start"), F.col(text_col).alias("_t")).select(id_col, "chunk_no", "start", F.substring(F.col("_t"), F.col("start") + 1, F.lit(size)).alias("chunk"))
+
+
+def handoff_events(handoffs: DataFrame) -> DataFrame:
+    """The log's event of each handoff (seq, from_agent, to_agent, session_id, role_from, role_to) that names both agents;
+    the giver is its actor."""
+    named = handoffs.where("from_agent != '' and to_agent != ''")
+    names = ("from_agent", "to_agent", "role_from", "role_to")
+    payload = F.map_from_arrays(F.array(*(F.lit(c) for c in names)), F.array(*(F.coalesce(c, F.lit("")) for c in names)))
+    return named.select("seq", F.concat(F.lit("handoff_"), "seq").alias("event_id"), F.col("from_agent").alias("agent_id"), "session_id", F.lit("handoff_occurred").alias("event_type"), payload.alias("payload"))
+
+
+def apply_handoffs(agents: DataFrame, handoffs: DataFrame) -> DataFrame:
+    """Agents (agent_id, role, ...) with the role that the last handoff gave them. In one handoff the receiver is changed
+    first, then the giver; blank roles and agents that don't exist change nothing."""
+    change = lambda turn, who, role: F.struct((F.col("seq") * 2 + turn).alias("at"), F.col(who).alias("agent_id"), F.col(role).alias("given"))
+    changes = handoffs.where("from_agent != '' and to_agent != ''").select(F.inline(F.array(change(0, "to_agent", "role_to"), change(1, "from_agent", "role_from"))))
+    last = changes.where("given != ''").groupBy("agent_id").agg(F.max_by("given", "at").alias("_given"))
+    return agents.join(last, "agent_id", "left").withColumn("role", F.coalesce("_given", "role")).drop("_given")

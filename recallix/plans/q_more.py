@@ -75,16 +75,25 @@ def x9(t):
     return t.ev.groupBy("session_id").agg(F.round(F.max(us) / 1000.0 - F.min(us) / 1000.0, 1).alias("duration_ms"), (F.sum((F.col("event_type") == "critique_generated").cast("long")) == 0).alias("success"))
 
 
-@query("x10_agent_handoff", "SELECT agent_id, arg_max(event_type, lsn) AS role, max(lsn) AS lsn FROM ev GROUP BY agent_id")
+_HANDOFFS = """ho AS (SELECT e.lsn AS seq, p.agent_id AS from_agent, e.agent_id AS to_agent, CASE WHEN e.k % 4 = 0 THEN '' ELSE 'planner' END AS role_from, ['executor', 'critic', ''][e.k % 3 + 1] AS role_to FROM ev e JOIN ev p ON e.parent_event_id = p.event_id WHERE e.parent_event_id <> ''),
+hc AS (SELECT agent_id, arg_max(given, place) AS given FROM (SELECT seq * 2 AS place, to_agent AS agent_id, role_to AS given FROM ho UNION ALL SELECT seq * 2 + 1, from_agent, role_from FROM ho) WHERE given <> '' GROUP BY agent_id)"""
+
+
+@query("x10_agent_handoff", "SELECT a.agent_id, coalesce(given, a.role) AS role, coalesce(n, 0) AS handoffs FROM agent a LEFT JOIN hc ON hc.agent_id = a.agent_id LEFT JOIN (SELECT from_agent, count(*) AS n FROM ho GROUP BY from_agent) g ON g.from_agent = a.agent_id", _HANDOFFS)
 def x10(t):
-    return t.ev.groupBy("agent_id").agg(F.max_by("event_type", "lsn").alias("role"), F.max("lsn").alias("lsn"))
+    """Each event that continues another one hands over from that one's agent; roles afterwards, and events by giver."""
+    before = t.ev.select(F.col("event_id").alias("parent_event_id"), F.col("agent_id").alias("from_agent"))
+    role_to = F.element_at(F.array(F.lit("executor"), F.lit("critic"), F.lit("")), (F.col("k") % 3 + 1).cast("int"))
+    handoffs = t.ev.where("parent_event_id != ''").join(before, "parent_event_id").select(F.col("lsn").alias("seq"), "from_agent", F.col("agent_id").alias("to_agent"), "session_id", F.when(F.col("k") % 4 == 0, "").otherwise("planner").alias("role_from"), role_to.alias("role_to"))
+    given = mz.handoff_events(handoffs).groupBy("agent_id").agg(F.count(F.lit(1)).alias("handoffs"))
+    return mz.apply_handoffs(t.agent.select("agent_id", "role"), handoffs).join(given, "agent_id", "left").select("agent_id", "role", F.coalesce("handoffs", F.lit(0)).alias("handoffs"))
 
 
-@query("x11_ground_truth", "SELECT l.doc_id, l.quality = 1 AS expected, d.n_chars > 500 AS answered, (l.quality = 1) = (d.n_chars > 500) AS correct FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+@query("x11_ground_truth", "SELECT 'task_' || conv_id AS task_id, arg_max(text, turn) AS expected FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def x11(t):
-    j = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
-    want, got = F.col("quality") == 1, F.col("n_chars") > 500
-    return j.select("doc_id", want.alias("expected"), got.alias("answered"), (want == got).alias("correct"))
+    """Answers expected of tasks, recorded one after another: the last record of a task stands."""
+    records = t.conversations.where("role = 'assistant'").select(F.concat(F.lit("task_"), "conv_id").alias("task_id"), F.col("text").alias("expected"), "turn")
+    return records.where("task_id != ''").groupBy("task_id").agg(F.max_by("expected", "turn").alias("expected"))
 
 
 @query("x12_conflict_inject", "SELECT 'edge_' || a || '_conflict_' || b AS edge_id, a AS src, b AS dst FROM (SELECT agent_id, min(memory_id) AS a, max(memory_id) AS b FROM memory GROUP BY agent_id) WHERE a <> b")

@@ -238,3 +238,12 @@ def test_tiers(spark):
     cold = docs.where("tier = 'cold'")
     assert [(r["object_id"], r["lexical"], r["recency"], r["score"]) for r in tiers.cold_candidates(cold, "alpha beta", 9).collect()] == [("c1", 1.0, 0.5, 1.05), ("c2", 0.5, 1.0, 0.6)]
     assert ids(tiers.cold_candidates(cold, " ", 9)) == ["c2", "c1", "c3"] and tiers.cold_candidates(cold.limit(0), "alpha", 9).count() == 0
+
+
+def test_handoffs_change_roles_in_order(spark):
+    agents = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "agent_id string, role string")
+    rows = [(1, "a", "b", "s", "planner", "executor"), (2, "b", "a", "s", "critic", ""), (3, "", "c", "s", "p", "q"), (4, "a", "z", None, "", "q"), (5, "c", "c", "s", "giver", "receiver")]
+    handoffs = spark.createDataFrame(rows, "seq long, from_agent string, to_agent string, session_id string, role_from string, role_to string")
+    assert sorted(tuple(r) for r in mz.apply_handoffs(agents, handoffs).collect()) == [("a", "planner"), ("b", "critic"), ("c", "giver")]
+    events = mz.handoff_events(handoffs).orderBy("seq").collect()
+    assert [(r["event_id"], r["agent_id"], r["payload"]["to_agent"]) for r in events] == [("handoff_1", "a", "b"), ("handoff_2", "b", "a"), ("handoff_4", "a", "z"), ("handoff_5", "c", "c")]

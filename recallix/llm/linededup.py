@@ -6,10 +6,6 @@ e + 1 segments, it has one that no edit touches, so the other line holds the seg
 places off. A join on the first words of segments (four, fewer in short lines) with all such runs of words therefore
 finds every pair; the edit similarity of the word sequences then decides. Of each connected group one occurrence stays,
 the first by document id and position.
-
-A 64-bit SimHash of a line's words (``simhashes``) plays no part in this. It is made of sums: four bits of a hash stand in one 64-bit number as four 16-bit counters, and 16 such sums
-count all 64 bits inside the code-generated aggregate. Lines of more words than such a counter holds take 32 sums of
-two 32-bit counters.
 """
 
 from __future__ import annotations
@@ -26,7 +22,6 @@ SIMILARITY = 0.8
 _RUN, _LONG = 4, 16  # lines of _LONG words or more have segments of _RUN words at least
 _LEAST = 4  # shorter lines can't be near to another one: an edit of a line of four words is more than is allowed
 _SLICES, _CLEANUP = 2, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_SHORT = (1 << 15) - 1  # the topmost counter shares its bits with the sign
 _BROADCAST_IDS = 1_000_000
 
 
@@ -50,28 +45,6 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "h", "pos", F.trim("line").alias("norm")).where("norm != ''").select("id", "h", "pos", F.xxhash64("norm").alias("lid"), "norm", words.alias("n_words"))
 
 
-def _prints(occ: DataFrame, lanes: int) -> DataFrame:
-    """(lid, fp) with ``lanes`` counters in each sum; a line's sums are complete in the task that read it."""
-    step = 64 // lanes
-    ones = sum(1 << (step * j) for j in range(lanes))
-    tokens = occ.select("id", "pos", "lid", F.explode(F.split("norm", " ")).alias("w")).select("id", "pos", "lid", F.xxhash64("w").alias("h"))
-    sums = tokens.groupBy("id", "pos", "lid").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(step)))
-    fp = F.lit(0).cast("long")
-    for i in range(step):
-        for j in range(lanes):
-            bit = i + step * j
-            count = F.shiftrightunsigned(f"s{i}", step * j).bitwiseAND(F.lit((1 << step) - 1))
-            fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0))).otherwise(F.lit(0).cast("long")))
-    return sums.select("lid", fp.alias("fp"))
-
-
-def simhashes(occ: DataFrame) -> DataFrame:
-    """(lid, fp, n_words) of the distinct lines."""
-    both = _prints(occ.where(F.col("n_words") <= _SHORT), 4).unionByName(_prints(occ.where(F.col("n_words") > _SHORT), 2))
-    sizes = occ.groupBy("lid").agg(F.max("n_words").alias("n_words"))
-    return both.groupBy("lid").agg(F.min("fp").alias("fp")).join(sizes, "lid")
-
-
 def _edits(n: Column) -> Column:
     """The most word edits that a line of n words, the longer of two, is allowed."""
     return F.floor((1 - F.lit(SIMILARITY)) * n + F.lit(1e-9)).cast("int")

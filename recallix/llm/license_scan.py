@@ -8,6 +8,7 @@ band around it counts the template's words that the text has in order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -19,7 +20,8 @@ from .lexicon import Lexicon, Members, runs
 
 RUN, WINDOW = 3, 3
 
-#: Well-known license notices and the standard headers and texts of short licenses.
+#: Well-known license notices, standard headers, and the texts of short licenses by their parts: a text that
+#: has the grant without the disclaimer, or the other way round, is told by what it has.
 TEMPLATES: Mapping[str, str] = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -33,6 +35,13 @@ TEMPLATES: Mapping[str, str] = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "MIT disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause third condition": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC disclaimer": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
 
@@ -78,6 +87,21 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> list[tuple[int
     return out
 
 
+def _windows(shifts: list[int], width: int) -> list[tuple[int, int]]:
+    """(lowest, highest) of sorted diagonals in windows of a width, each half over the one before; all within half a width
+    of each other share a window. Without it, a text of a template's phrases over and over is a band as wide as the text."""
+    if shifts[-1] - shifts[0] <= width:
+        return [(shifts[0], shifts[-1])]
+    out, at = [], 0
+    while at < len(shifts):
+        end = bisect_right(shifts, shifts[at] + width)
+        out.append((shifts[at], shifts[end - 1]))
+        if end == len(shifts):
+            break
+        at = max(at + 1, bisect_right(shifts, shifts[end - 1] - (width + 1) // 2 - 1))
+    return out
+
+
 class Scanner:
     """Templates with the inverted index of their fingerprints."""
 
@@ -111,10 +135,10 @@ class Scanner:
             group: list[int] = []
             for s in sorted(shifts):
                 if group and s - group[-1] > slack:
-                    out.append((at, group[0], group[-1]))
+                    out.extend((at, *w) for w in _windows(group, 8 * slack))
                     group = []
                 group.append(s)
-            out.append((at, group[0], group[-1]))
+            out.extend((at, *w) for w in _windows(group, 8 * slack))
         return sorted(out)
 
     def _band(self, at: int) -> int:
@@ -123,18 +147,21 @@ class Scanner:
     def find(self, text: str, coverage: float) -> list[tuple[str, float, int, int, int, int, int]]:
         """(license, coverage, words matched, first word, word after the last, first character, character after)."""
         numbers, places = self.lexicon.read(text)
-        out, spots = [], None
+        out, spots = {}, None
         for at, low, high in self._candidates(numbers):
             name, words = self.templates[at]
             band = (high - low + 1) // 2 + self._band(at)
+            near = numbers[max(0, low - band - 1) : high + band + 1 + len(words)]
+            if np.isin(words, near).sum() < coverage * len(words):  # no alignment has more words than the text has here
+                continue
             pairs = align(words, numbers, (low + high) // 2, band)
             if not pairs or len(pairs) < coverage * len(words):
                 continue
             if spots is None:
                 spots = _spots(text)
             first, last = int(places[pairs[0][1]]), int(places[pairs[-1][1]])
-            out.append((name, round(len(pairs) / len(words), 6), len(pairs), first, last + 1, spots[first][0], spots[last][1]))
-        return out
+            out[name, round(len(pairs) / len(words), 6), len(pairs), first, last + 1, spots[first][0], spots[last][1]] = None
+        return list(out)
 
 
 def _spots(text: str) -> list[tuple[int, int]]:

@@ -129,6 +129,25 @@ def test_licenses(spark, awkward, empty):
     assert license_scan.scan(awkward).count() == 0 == license_scan.scan(empty).count()
 
 
+def test_diagonals_in_windows_lose_no_neighbours():
+    rng = np.random.default_rng(12)
+    for width in (4, 16, 33):
+        shifts = sorted(set(rng.integers(-50, 2000, 300).tolist()))
+        got = license_scan._windows(shifts, width)
+        assert all(b - a <= width for a, b in got) and got[0][0] == shifts[0] and got[-1][1] == shifts[-1]
+        for i, x in enumerate(shifts):
+            near = [y for y in shifts[i:] if y - x <= width // 2]
+            assert any(a <= x and near[-1] <= b for a, b in got)
+
+
+def test_license_phrases_over_and_over(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    phrases = "copies of the software and to permit persons " * 20_000
+    got = license_scan.scan(table(spark, [phrases, f"{phrases} {mit} {phrases}"])).collect()
+    assert {r["id"] for r in got} == {1} and {r["license"] for r in got} == {"MIT"}
+    assert any(r["coverage"] == 1.0 and r["matched_words"] == len(mit.split()) for r in got)
+
+
 def test_winnowing_keeps_a_print_of_every_window():
     codes = np.random.default_rng(1).integers(1, 50, 400).astype(np.uint64)
     chosen = license_scan.winnow(codes)

@@ -36,6 +36,16 @@ def s4(t):
     return files.assemble_documents(c.unionByName(c.where("idx % 2 = 0")))
 
 
+@query("s15_log_stream", "SELECT event_id, event_type FROM ev WHERE event_type IN ('tool_call', 'tool_result')")
+def s15(t):
+    """The log as a stream of JSON lines: a subscriber's filter runs on it, and what it passes on is read back."""
+    source, out = new_path(t.spark, "log-json"), new_path(t.spark, "subscribed")
+    t.ev.select("event_id", "event_type").write.json(source)
+    passed = files.read_events(t.spark, source, stream=True).where(F.col("event_type").isin("tool_call", "tool_result")).select("event_id", "event_type")
+    passed.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(t.spark, "subscriber-state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("event_id string, event_type string").parquet(out)
+
+
 @query("s16_list_cold_objects", "SELECT memory_id, namespace FROM doc WHERE namespace IN (SELECT namespace FROM doc GROUP BY namespace ORDER BY namespace LIMIT 3)")
 def s16(t):
     """Archived objects under some prefixes: folders of a partitioned table, pruned before any file is read."""

@@ -9,6 +9,11 @@ from ..streaming import wal
 from .registry import query
 
 
+@query("t1_subscriber_poll", "SELECT event_id, lsn FROM ev WHERE lsn > 300 AND lsn <= 364")
+def t1(t):
+    return wal.poll(t.ev.select("event_id", "lsn"), 300, 64)
+
+
 @query("t2_visible_watermark", "SELECT coalesce(min(lsn) FILTER (k % 97 = 0) - 1, max(lsn)) AS watermark FROM ev")
 def t2(t):
     return wal.visible_watermark(t.ev.select("lsn"), t.ev.where("k % 97 != 0").select("lsn"))

@@ -126,3 +126,8 @@ def micro_batches(log: DataFrame, size: int = 32) -> DataFrame:
     batch holds what was there when the queue was flushed."""
     batch = F.floor((F.col("lsn") - 1) / size).cast("long")
     return log.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+
+
+def poll(log: DataFrame, after: int, size: int) -> DataFrame:
+    """What a subscriber that has read up to ``after`` gets next: the following entries in order, ``size`` at most."""
+    return log.where(F.col("lsn") > after).orderBy("lsn").limit(size)

@@ -6,8 +6,9 @@ the embeddings loses no link. The join runs on a grid: the segments are dealt in
 any linked pair is at most one apart, and each group's counts, as they are and with one count raised by one, are the
 cells in which pairs meet. Pairs that meet pass the Manhattan bound first and the exact Hamming distance last.
 
-No radius that such a grid can carry finds nearly all texts that are similar enough, so the pipeline's stage
-(``near_dedup``) takes its candidates from bands of min-hashes of the shingles that the similarity is defined on.
+The pipeline's stage (``near_dedup``) is defined by similarity: it links by this method first, each link checked on the
+whole texts. No radius that such a grid can carry finds nearly all texts that are similar enough, so candidates of bands
+of min-hashes, of the shingles that the similarity is defined on, follow and add the links beyond the radius.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _LONGS = -(-BANDS * ROWS // 64)
 _BITS = [f"b{i}" for i in range(_LONGS)]
 _OTHERS = [f"o{i}" for i in range(6)]
 _FACTS = ["shared", "extra", *_OTHERS]
+RADIUS = 3  # bits; the grid carries 3 with the cells of 2
 _DEVIATIONS = 4.0  # of an estimate by minima, 0.00003 on one side
 _BLOCK = 1 << 12
 _RANDOM = np.random.default_rng(SEED)
@@ -189,27 +191,28 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, h, key, n, bits, cells, sketch) of every row: the text's hash, the hash of its words, its number of shingles,
-    a bit of each minimum, one cell for each band of minima, and a byte of each minimum. A text without words has no
+    """(id, h, key, n, fp, bits, cells, sketch) of every row: the text's hash, the hash of its words, its number of
+    shingles, their SimHash, a bit of each minimum, one cell for each band of minima, and a byte of each minimum. A text without words has no
     cells."""
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, bits, cells, sketches = [], [], [], [], []
+            keys, sizes, prints, bits, cells, sketches = [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 tokens = (t or "").encode("utf-8", "surrogatepass").lower().split()
                 hashes = shingle_hashes(t, words)
                 least = minima(hashes)
                 keys.append(_signed(xxhash.xxh64_intdigest(b" ".join(tokens), SEED)))
                 sizes.append(len(hashes))
+                prints.append(majority(hashes))
                 bits.append(np.packbits((least & np.uint64(1)).astype(bool), bitorder="little").tobytes().ljust(8 * _LONGS, b"\0"))
                 cells.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else [])
                 sketches.append(least.astype(np.uint8).tobytes())
             longs = np.frombuffer(b"".join(bits), np.int64).reshape(-1, _LONGS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(longs[:, i]) for i in range(_LONGS)), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "h", "key", "n", *_BITS, "cells", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), *(pa.array(longs[:, i]) for i in range(_LONGS)), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "h", "key", "n", "fp", *_BITS, "cells", "sketch"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id long, h long, key long, n long, {', '.join(f'{c} long' for c in _BITS)}, cells array<long>, sketch binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id long, h long, key long, n long, fp long, {', '.join(f'{c} long' for c in _BITS)}, cells array<long>, sketch binary")
 
 
 def _text_hash(text: Column) -> Column:
@@ -299,21 +302,48 @@ def _joined(groups: Table, found: DataFrame) -> Table:
     return out
 
 
+def _simhash_groups(nodes: DataFrame, texts: DataFrame, least: float, words: int, radius: int = RADIUS) -> Table:
+    """(node, grp) of the nodes by links of similar texts whose fingerprints are within ``radius`` bits, by the grid of
+    ``link_groups``: every node meets the smallest one of each of its cells first, then probes meet the cells, and pairs
+    of different groups so far pass the Manhattan bound, the exact Hamming distance and the similarity of whole texts."""
+    coded = nodes.select("node", "n", "fp", *_BITS, embed(F.col("fp")).alias("code"))
+    index = coded.select("node", "fp", F.explode(own_cells(F.col("code"), radius)).alias("c")).select("node", "fp", "c.g", "c.cell")
+    heads = index.groupBy("g", "cell").agg(F.min(F.struct("node", "fp")).alias("head"))
+    near = (F.col("node") != F.col("head.node")) & (hamming(F.col("fp"), F.col("head.fp")) <= radius)
+    stars = _compared(index.join(heads, ["g", "cell"]).where(near).select(F.col("node").alias("src"), F.col("head.node").alias("dst")).distinct(), nodes, texts, least, least, words)
+    groups = _joined(Table(nodes.select("node", F.col("node").alias("grp")), "groups"), stars.df.where("alike").select(F.col("src").alias("g1"), F.col("dst").alias("g2")))
+
+    row = F.struct("node", "grp", "n", "fp", "code", *_BITS)
+    known = coded.join(groups.df, "node")
+    left = known.select(row.alias("x"), F.explode(probe_cells(F.col("code"), radius)).alias("c")).select("x", "c.g", "c.cell")
+    right = known.select(row.alias("y"), F.explode(own_cells(F.col("code"), radius)).alias("c")).select("y", "c.g", "c.cell")
+    close = (hamming(F.col("x.code"), F.col("y.code")) <= radius) & (hamming(F.col("x.fp"), F.col("y.fp")) <= radius)
+    met = left.join(right, ["g", "cell"]).where((F.col("x.grp") != F.col("y.grp")) & close & _may_be_near("x.", "y.", least))
+    pairs = met.select(F.greatest("x.node", "y.node").alias("src"), F.least("x.node", "y.node").alias("dst"), F.greatest("x.grp", "y.grp").alias("g1"), F.least("x.grp", "y.grp").alias("g2")).distinct()
+    last = _compared(pairs, nodes, texts, least, least, words)
+    groups = _joined(groups, last.df.where("alike").select("g1", "g2"))
+    for x in (stars, last):
+        x.drop()
+    return groups
+
+
 def _node_groups(nodes: DataFrame, texts: DataFrame, least: float, words: int) -> Table:
-    """(node, grp) of the nodes by links of similar texts that share a band of minima.
+    """(node, grp) of the nodes by links of similar texts that are within the radius or share a band of minima.
 
-    First every text is compared with one text of each of its cells, the one that shares most places in cells with
+    The links of ``_simhash_groups`` come first. Then every text is compared with one text of each of its cells, the one that shares most places in cells with
     others: an original comes first that way, its copies meet it, and a large group closes with linear work. Then the
     cells that still hold more than one group are joined. Only pairs that sizes, bits and what both texts share with
     the cell's head allow are emitted, so copies of one original that are too far from each other stay apart without
     being compared pair by pair."""
+    groups = _simhash_groups(nodes, texts, least, words)
     cells = nodes.select("node", "n", *_BITS, F.explode("cells").alias("cell"))
     shared = Table(cells.join(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "cell"), "cells")
     links = Table(shared.df.select("cell", "node", "n", *_BITS).join(shared.df.groupBy("node").agg(F.sum("c").alias("rank")), "node"), "cell-nodes")
     shared.drop()
     heads = Table(links.df.groupBy("cell").agg(F.max(F.struct("rank", "node")).alias("y")).select("cell", F.col("y.node").alias("head")), "heads")
     stars = _compared(links.df.join(heads.df, "cell").where("node != head").select(F.col("node").alias("src"), F.col("head").alias("dst")).distinct(), nodes, texts, 0.0, least, words)
-    groups = _joined(Table(nodes.select("node", F.col("node").alias("grp")), "groups"), stars.df.where("alike").select(F.col("src").alias("g1"), F.col("dst").alias("g2")))
+    named = lambda end, name: groups.df.select(F.col("node").alias(end), F.col("grp").alias(name))
+    groups = _joined(groups, stars.df.where("alike").select("src", "dst").join(named("src", "g1"), "src").join(named("dst", "g2"), "dst").select("g1", "g2"))
 
     index = links.df.join(groups.df, "node").join(heads.df.select("cell", "head"), "cell")
     mixed = index.groupBy("cell").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high").select("cell")
@@ -334,7 +364,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     stands first, as a struct (nameless, id, h): the smallest id, rows without one last, then the smallest hash.
 
     Groups are connected by a similarity of whole texts of at least ``least``. Texts with the same words are one node,
-    whatever rows hold them. Candidates share a band of minima: two texts of similarity s do but for a chance of
+    whatever rows hold them. Candidates have fingerprints within RADIUS bits, all of which meet, or share a band of minima: two texts of similarity s do but for a chance of
     (1 - s ** ROWS) ** BANDS, 0.0007 at 0.8."""
     marks = Table(signatures(docs, id_col, text_col, words), "signatures")
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "h")

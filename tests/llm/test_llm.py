@@ -378,6 +378,32 @@ def test_near_dedup_equals_brute_force_on_similarity_alone(spark):
     assert far > 10 and kept == {i for i in range(len(texts)) if top(i) == i}
 
 
+def test_near_dedup_links_by_simhash_and_grid(spark, docs, monkeypatch):
+    """Without any band of minima, all texts within the radius that are similar enough are still linked, and no others."""
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    words = [f"w{i}" for i in range(60)]
+    rows |= {10**9: " ".join(words), 10**9 + 1: " ".join(words[:-1]), 10**9 + 2: "", 10**9 + 3: "!"}
+    made = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a, **k: made(*a, **k).withColumn("cells", F.array().cast("array<long>")))
+    table_ = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
+    prints = {i: neardup.majority(neardup.shingle_hashes(t, 5)) & (1 << 64) - 1 for i, t in rows.items()}
+    ids, first = sorted(rows), {i: i for i in rows}
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            if (rows[i] or "").lower().split() == (rows[j] or "").lower().split() or ((prints[i] ^ prints[j]).bit_count() <= neardup.RADIUS and neardup.similarity(rows[i], rows[j]) >= 0.8):
+                x, y = sorted((root(i), root(j)))
+                first[y] = x
+    kept = {r[0] for r in neardup.near_dedup(table_).select("doc_id").collect()}
+    assert kept == {i for i in ids if root(i) == i}
+    assert len({" ".join((t or "").lower().split()) for t in rows.values()}) > len(kept)
+
+
 def test_near_dedup_of_the_tables_takes_copies_beyond_seven_bits(spark, docs):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     kept = {r[0] for r in neardup.near_dedup(docs).select("doc_id").collect()}

@@ -27,11 +27,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _written[-1][1]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A table that is read no more goes before the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already when the driver ends
             return
 

@@ -301,3 +301,14 @@ def test_handoffs_change_roles_in_order(spark):
     assert sorted(tuple(r) for r in mz.apply_handoffs(agents, handoffs).collect()) == [("a", "planner"), ("b", "critic"), ("c", "giver")]
     events = mz.handoff_events(handoffs).orderBy("seq").collect()
     assert [(r["event_id"], r["agent_id"], r["payload"]["to_agent"]) for r in events] == [("handoff_1", "a", "b"), ("handoff_2", "b", "a"), ("handoff_4", "a", "z"), ("handoff_5", "c", "c")]
+
+
+def test_blocks_of_rows_leave_k_hits_of_a_query_in_all(spark, monkeypatch):
+    """Each block's k hits of each query were written and ranked together at the end: blocks x queries x k rows."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(700, 4)).tolist())], "vec_id long, embedding array<double>").repartition(3)
+    ranked, rows = retrieval.top_k_per, []
+    monkeypatch.setattr(retrieval, "top_k_per", lambda found, *rest: rows.append(found.count()) or ranked(found, *rest))
+    got = retrieval.knn(df, df, 6, max_query_bytes=4_000)
+    assert rows == [700 * 6]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in retrieval.knn(df, df, 6).collect()}

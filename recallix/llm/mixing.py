@@ -135,22 +135,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def repeated(rows: DataFrame) -> DataFrame:
         return rows.where("_rx_copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rx_copies")))).select(*names)
 
-    single = repeated(docs.join(chosen.where("_rx_n = 1"), same))
+    # Merged, however small: for each broadcast on several columns the driver sets 16 MB aside.
+    single = repeated(docs.join(chosen.where("_rx_n = 1").hint("merge"), same))
     again = chosen.where("_rx_n > 1")
     if again.isEmpty():
         return single
     # Equal rows are numbered within the task that reads them, and on from the counts of the tasks before it.
     keys = again.where("_rx_r = 1").select("_rx_id", "_rx_source", "_rx_th")
     part, mark = free_name(docs.columns, "_rx_part"), free_name(docs.columns, "_rx_mark")
-    here = Table(docs.join(keys, same).withColumns({part: F.spark_partition_id(), mark: F.monotonically_increasing_id()}), "repeated").df
+    here = Table(docs.join(keys.hint("merge"), same).withColumns({part: F.spark_partition_id(), mark: F.monotonically_increasing_id()}), "repeated").df
     own = ["_rx_id", "_rx_source", "_rx_th"]
     counts = here.groupBy(*own, part).agg(F.count(F.lit(1)).alias("_rx_c"))
     before = F.sum("_rx_c").over(W.partitionBy(*own).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
     based = counts.select(*(F.col(c).alias(f"{c}2") for c in own), F.col(part).alias("_rx_p2"), F.coalesce(before, F.lit(0)).alias("_rx_base"))
     numbered = here.withColumn("_rx_in", F.row_number().over(W.partitionBy(*own, part).orderBy(mark)))
     at = (F.col(part) == F.col("_rx_p2")) & F.col("_rx_id").eqNullSafe(F.col("_rx_id2")) & F.col("_rx_source").eqNullSafe(F.col("_rx_source2")) & (F.col("_rx_th") == F.col("_rx_th2"))
-    numbered = numbered.join(based, at).withColumn("_rx_row", F.col("_rx_in") + F.col("_rx_base")).select(*docs.columns, "_rx_row")
-    return single.unionByName(repeated(numbered.join(again, same & (F.col("_rx_row") == F.col("_rx_r")))))
+    numbered = numbered.join(based.hint("merge"), at).withColumn("_rx_row", F.col("_rx_in") + F.col("_rx_base")).select(*docs.columns, "_rx_row")
+    return single.unionByName(repeated(numbered.join(again.hint("merge"), same & (F.col("_rx_row") == F.col("_rx_r")))))
 
 
 __all__ = ["mix", "plan", "targets"]

@@ -915,3 +915,36 @@ def test_pipeline_stages_equal_brute_force(spark, folder, docs, tokenizer):
         want.append((i, at, len(t), zlib.crc32(np.asarray(t, "<u4").tobytes())))
         at += len(t)
     assert sorted(tuple(r) for r in five.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_few_links_are_closed_without_rounds_of_exchanges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(40)] + [(1 << 62, 7), (-5, -9), (3, 3), (None, 8)] + [tuple(map(int, x)) for x in rng.integers(100, 400, (150, 2))]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    spark.sparkContext.setJobGroup("few-links", "few links")
+    got = sorted(map(tuple, common.components(edges).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8, f"{jobs} jobs for {len(links)} links"
+    low = {x: x for u, v in links if None not in (u, v) and u != v for x in (u, v)}
+    for _ in low:
+        for u, v in links:
+            if u in low and v in low:
+                low[u] = low[v] = min(low[u], low[v])
+    assert got == sorted(low.items())
+    monkeypatch.setattr(common, "_FEW_LINKS", -1)
+    assert sorted(map(tuple, common.components(edges).collect())) == got
+    assert common.components(edges.where("src is null")).count() == 0
+    monkeypatch.undo()
+    assert common.components(edges.where("src is null")).dtypes == common.components(edges).dtypes == [("node", "bigint"), ("component", "bigint")]
+    assert common.components(edges.where("src is null")).count() == 0
+
+
+def test_the_mix_broadcasts_nothing_of_the_corpus(spark):
+    rows = [(i, "a b c " * (1 + i % 5), "xyz"[i % 3]) for i in range(60)] + [(7, "a a", None), (7, "a a", None), (None, None, "x"), (None, None, "x")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    taken = Counter()
+    for r in mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r["id"], r["source"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"]) for r in got.collect()) == +taken

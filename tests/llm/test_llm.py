@@ -558,6 +558,17 @@ def test_lines_equal_brute_force_on_edits_alone(spark):
     assert got == {(0, i) for i in range(len(lines)) if top(i) != i} and len(got) > 50
 
 
+def test_runs_of_words_are_dealt_in_pieces_that_are_whole_and_small(spark):
+    """Two halves of all runs lay on the disk one after the other."""
+    rng = np.random.default_rng(19)
+    rows = [(i, " ".join(rng.choice([f"term{x}" for x in range(300)], n)), int(n)) for i, n in enumerate(rng.integers(1, 40, 80))]
+    lines = spark.createDataFrame(rows, "lid long, norm string, n_words int")
+    whole = sorted(map(tuple, linededup._runs(lines).collect()))
+    pieces = [list(map(tuple, linededup._runs(lines, i, linededup._SLICES).collect())) for i in range(linededup._SLICES)]
+    assert sorted(sum(pieces, [])) == whole and max(map(len, pieces)) < 0.4 * len(whole)
+    assert all({r[0] for r in x}.isdisjoint(r[0] for r in y) for x in pieces for y in pieces if x is not y)
+
+
 def test_lines_awkward(spark, awkward, empty):
     rows = {r["id"]: r for r in linededup.line_report(awkward).collect()}
     assert rows[8]["dropped"] == "3" and rows[8]["n_lines"] == 4 and rows[6]["n_kept"] == 0 and rows[5]["n_kept"] == 1
